@@ -1,2 +1,238 @@
-def queries(): return {}
-def oracle_sql(): return {}
+"""The query catalogue of the store's operators, each with the SQL that must give the same rows.
+
+Put-log P: events by user, timed in microseconds, the event type as value; gen = event_id % 4 stands
+for four segments or tables. Coarse put-log C has day numbers as times, so that repeats and ties occur.
+Keys and records are shown as hex.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.codec import decode_time, decode_value, entry_bytes, long_key, record_string
+from .operators import layout, merge, views
+from .operators.model import put_log
+from .sources.shared import shared_path
+from .streaming.latest import maintain_latest, read_latest
+
+
+def _micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def fine_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return put_log(e, F.col("event_id"), long_key("user_id"), _micros("ts"), F.encode("event_type", "UTF-8"), F.col("user_id"), (F.col("event_id") % 4).alias("gen"))
+
+
+def coarse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return put_log(e, F.col("event_id"), long_key("user_id"), F.floor(_micros("ts") / 86_400_000_000), F.encode("event_type", "UTF-8"), (F.col("event_id") % 4).alias("gen"))
+
+
+def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return put_log(li, F.col("l_linenumber"), long_key("l_orderkey"), _micros("l_shipdate"), F.encode("l_returnflag", "UTF-8"), F.col("l_linenumber"))
+
+
+def shown(df: DataFrame) -> DataFrame:
+    for c in ("k", "rec"):
+        if c in df.columns:
+            df = df.withColumn(c, F.hex(c))
+    return df
+
+
+USER = 17
+P = "p AS (SELECT event_id AS seq, user_id, event_id % 4 AS gen, lpad(hex(user_id), 16, '0') AS k, epoch_us(ts) AS t, event_type AS v, lpad(hex(epoch_us(ts)), 16, '0') || hex(encode(event_type)) AS rec FROM events)"
+C = "c AS (SELECT event_id AS seq, event_id % 4 AS gen, lpad(hex(user_id), 16, '0') AS k, lpad(hex(epoch_us(ts) // 86400000000), 16, '0') || hex(encode(event_type)) AS rec FROM events)"
+L = "l AS (SELECT l_linenumber, lpad(hex(l_orderkey), 16, '0') AS k, lpad(hex(epoch_us(l_shipdate)), 16, '0') || hex(encode(l_returnflag)) AS rec FROM lineitem)"
+
+
+def point_get(spark, sf_dir):
+    return shown(views.get(fine_log(spark, sf_dir), long_key(F.lit(USER))).select("k", "rec"))
+
+
+def get_versions(spark, sf_dir):
+    got = views.versions(views.get(coarse_log(spark, sf_dir), long_key(F.lit(USER))))
+    return shown(got.select("k", F.array_join(F.transform("versions", F.hex), ",").alias("versions")))
+
+
+def multi_get(spark, sf_dir):
+    keys = spark.range(0, 400, 3).select(long_key("id").alias("k"))
+    return shown(views.multi_get(fine_log(spark, sf_dir), keys).select("k", "rec"))
+
+
+def flush_latest(spark, sf_dir):
+    return shown(views.latest(fine_log(spark, sf_dir)))
+
+
+def dump_all_versions(spark, sf_dir):
+    v = views.versions(coarse_log(spark, sf_dir))
+    return shown(v.select("k", F.size("versions").cast("long").alias("n_versions"), F.array_join(F.transform("versions", F.hex), ",").alias("versions")))
+
+
+def pair_iterator(spark, sf_dir):
+    return shown(views.pairs(coarse_log(spark, sf_dir)))
+
+
+def collect_sources(spark, sf_dir):
+    log = coarse_log(spark, sf_dir)
+    return shown(views.collect_sources(*[views.latest(log.where(F.col("gen") == g)).withColumn("gen", F.lit(g).cast("long")) for g in range(4)]))
+
+
+def merge_memtables(spark, sf_dir):
+    log = coarse_log(spark, sf_dir)
+    return shown(merge.merge_versions(log.where("gen = 0"), log.where("gen = 1")))
+
+
+def merge_two_tables(spark, sf_dir):
+    log = fine_log(spark, sf_dir)
+    left = views.latest(log.where((F.col("gen") == 0) & (F.col("k") < long_key(F.lit(100)))))
+    right = views.latest(log.where((F.col("gen") == 1) & (F.col("k") > long_key(F.lit(30)))))
+    return shown(merge.outer_merge(left, right))
+
+
+def merge_run(spark, sf_dir):
+    log = fine_log(spark, sf_dir)
+    return shown(merge.merge_latest(*[views.latest(log.where(F.col("gen") == g)) for g in range(4)]))
+
+
+def mem_size(spark, sf_dir):
+    return layout.mem_size(fine_log(spark, sf_dir), "gen")
+
+
+def mem_size_running(spark, sf_dir):
+    return layout.running_size(fine_log(spark, sf_dir), "gen").select("gen", "seq", "mem_bytes")
+
+
+def codec_roundtrip(spark, sf_dir):
+    log = fine_log(spark, sf_dir)
+    return shown(log.select("seq", "rec", decode_time("rec").alias("t"), F.decode(decode_value("rec"), "UTF-8").alias("v")))
+
+
+def string_of_record(spark, sf_dir):
+    return fine_log(spark, sf_dir).select("seq", record_string("t", "v").alias("shown"))
+
+
+def ordered_scan(spark, sf_dir):
+    return shown(views.ordinal(views.latest(fine_log(spark, sf_dir)), "k"))
+
+
+def scan_range(spark, sf_dir):
+    log = fine_log(spark, sf_dir)
+    return shown(views.latest(views.scan_range(log, long_key(F.lit(20)), long_key(F.lit(60)))))
+
+
+def key_range(spark, sf_dir):
+    ranges = views.key_range(fine_log(spark, sf_dir).where(F.col("user_id") % 7 > F.col("gen")), "gen")
+    hit = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(190), F.lit(10))).alias("id")).withColumn("k", long_key("id"))
+    hit = hit.withColumn("inside", F.col("k").between(F.col("begin"), F.col("end")))
+    return hit.select("gen", F.hex("k").alias("k"), F.hex("begin").alias("begin_key"), F.hex("end").alias("end_key"), "inside")
+
+
+def filter_probe(spark, sf_dir):
+    return shown(views.probe(spark.range(0, 400, 3).select(long_key("id").alias("k")), fine_log(spark, sf_dir)))
+
+
+def index_floor(spark, sf_dir):
+    index = fine_log(spark, sf_dir).where("user_id % 10 = 3").select("k").distinct()
+    found = views.floor_lookup(spark.range(0, 200).select(long_key("id").alias("k")), index)
+    return found.select(F.hex("k").alias("k"), F.hex("floor").alias("floor_key"))
+
+
+def range_overlap(spark, sf_dir):
+    log = fine_log(spark, sf_dir).withColumn("tab", F.col("seq") % 8).where((F.col("user_id") >= F.col("tab") * 18) & (F.col("user_id") < F.col("tab") * 18 + 25))
+    return layout.overlaps(views.key_range(log, "tab"))
+
+
+def distinct_keys(spark, sf_dir):
+    return views.distinct_keys(fine_log(spark, sf_dir), "gen")
+
+
+def level_overflow(spark, sf_dir):
+    tab = F.col("seq") % 40
+    return layout.level_overflow(fine_log(spark, sf_dir).select(tab.alias("tab"), F.when(tab < 12, 0).otherwise(1).cast("long").alias("level")))
+
+
+def latest_window(spark, sf_dir):
+    return shown(views.latest_by_window(fine_log(spark, sf_dir)))
+
+
+def block_cut(spark, sf_dir):
+    return layout.block_cuts(views.latest(fine_log(spark, sf_dir), "gen"), "gen", 2000)
+
+
+def segment_cut(spark, sf_dir):
+    log = fine_log(spark, sf_dir).select("seq")
+    return layout.segment_cuts(log, 40, 40_000).groupBy("segment").agg(F.count(F.lit(1)).alias("n_puts"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def streaming_latest(spark, sf_dir):
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    log = put_log(stream, F.col("event_id"), long_key("user_id"), _micros("ts"), F.encode("event_type", "UTF-8"))
+    table = shared_path(spark, "latest")
+    maintain_latest(log, table, shared_path(spark, "stream")).awaitTermination()
+    return shown(read_latest(spark, table))
+
+
+def lineitem_latest(spark, sf_dir):
+    return shown(views.latest(line_log(spark, sf_dir)))
+
+
+def lineitem_merge(spark, sf_dir):
+    log = line_log(spark, sf_dir)
+    return shown(merge.outer_merge(views.latest(log.where("l_linenumber <= 3")), views.latest(log.where("l_linenumber > 3"))))
+
+
+def document_sizes(spark, sf_dir):
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    log = put_log(d, F.col("doc_id"), F.encode("source", "UTF-8"), F.col("doc_id"), F.encode("text", "UTF-8"), F.col("source"))
+    return log.groupBy("source").agg(F.sum(entry_bytes("k", "rec")).cast("long").alias("mem_bytes"), F.max("t").alias("last_t"))
+
+
+_SQL = {
+    "point_get": f"WITH {P} SELECT k, rec FROM p WHERE user_id = {USER}",
+    "get_versions": f"WITH {C} SELECT k, string_agg(DISTINCT rec, ',' ORDER BY rec) AS versions FROM c WHERE k = lpad(hex({USER}), 16, '0') GROUP BY k",
+    "multi_get": f"WITH {P} SELECT k, rec FROM p WHERE user_id IN (SELECT range FROM range(0, 400, 3))",
+    "flush_latest": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
+    "dump_all_versions": f"WITH {C} SELECT k, count(DISTINCT rec) AS n_versions, string_agg(DISTINCT rec, ',' ORDER BY rec) AS versions FROM c GROUP BY k",
+    "pair_iterator": f"WITH {C} SELECT DISTINCT k, rec FROM c",
+    "collect_sources": f"WITH {C} SELECT k, max(rec) AS rec, gen FROM c GROUP BY gen, k",
+    "merge_memtables": f"WITH {C} SELECT DISTINCT k, rec FROM c WHERE gen IN (0, 1)",
+    "merge_two_tables": f"WITH {P}, a AS (SELECT k, max(rec) AS r FROM p WHERE gen = 0 AND user_id < 100 GROUP BY k), b AS (SELECT k, max(rec) AS r FROM p WHERE gen = 1 AND user_id > 30 GROUP BY k) SELECT coalesce(a.k, b.k) AS k, greatest(a.r, b.r) AS rec, CASE WHEN b.r IS NULL THEN 'left' WHEN a.r IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k",
+    "merge_run": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
+    "mem_size": f"WITH {P} SELECT gen, CAST(sum(16 + length(k) // 2 + length(rec) // 2) AS BIGINT) AS mem_bytes FROM p GROUP BY gen",
+    "mem_size_running": f"WITH {P} SELECT gen, seq, CAST(sum(16 + length(k) // 2 + length(rec) // 2) OVER (PARTITION BY gen ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mem_bytes FROM p",
+    "codec_roundtrip": f"WITH {P} SELECT seq, rec, t, v FROM p",
+    "string_of_record": f"WITH {P} SELECT seq, v || ' [' || t || ']' AS shown FROM p",
+    "ordered_scan": f"WITH {P} SELECT k, max(rec) AS rec, row_number() OVER (ORDER BY k) AS n FROM p GROUP BY k",
+    "scan_range": f"WITH {P} SELECT k, max(rec) AS rec FROM p WHERE user_id BETWEEN 20 AND 60 GROUP BY k",
+    "key_range": f"WITH {P}, r AS (SELECT gen, min(k) AS b, max(k) AS e FROM p WHERE user_id % 7 > gen GROUP BY gen), q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 200, 10)) SELECT gen, k, b AS begin_key, e AS end_key, k BETWEEN b AND e AS inside FROM q, r",
+    "filter_probe": f"WITH {P}, q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 400, 3)) SELECT k FROM q WHERE k IN (SELECT k FROM p)",
+    "index_floor": f"WITH {P}, i AS (SELECT DISTINCT k FROM p WHERE user_id % 10 = 3), q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 200)) SELECT q.k, (SELECT max(i.k) FROM i WHERE i.k <= q.k) AS floor_key FROM q",
+    "range_overlap": f"WITH {P}, r AS (SELECT seq % 8 AS tab, min(k) AS b, max(k) AS e FROM p WHERE user_id >= (seq % 8) * 18 AND user_id < (seq % 8) * 18 + 25 GROUP BY 1) SELECT x.tab AS a, y.tab AS b, x.e >= y.b AND x.b <= y.e AS overlap FROM r x JOIN r y ON x.tab < y.tab",
+    "distinct_keys": f"WITH {P} SELECT gen, count(DISTINCT k) AS n_keys FROM p GROUP BY gen",
+    "level_overflow": "WITH m AS (SELECT event_id % 40 AS tab, CASE WHEN event_id % 40 < 12 THEN 0 ELSE 1 END AS level FROM events) SELECT CAST(level AS BIGINT) AS level, count(DISTINCT tab) AS n_tables, CAST(10 * pow(10, level) AS BIGINT) AS max_tables, count(DISTINCT tab) > 10 * pow(10, level) AS overflow FROM m GROUP BY level",
+    "latest_window": f"WITH {P} SELECT k, rec FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec DESC) = 1",
+    "block_cut": f"""WITH RECURSIVE {P}, t AS (SELECT gen, k, 4 + length(k) // 2 + length(max(rec)) // 2 AS size, row_number() OVER (PARTITION BY gen ORDER BY k) AS n FROM p GROUP BY gen, k),
+        f AS (SELECT gen, n, k, size AS used, 0 AS block, size FROM t WHERE n = 1 UNION ALL
+              SELECT t.gen, t.n, t.k, CASE WHEN f.used + t.size > 2000 THEN t.size ELSE f.used + t.size END, CASE WHEN f.used + t.size > 2000 THEN f.block + 1 ELSE f.block END, t.size FROM f JOIN t ON t.gen = f.gen AND t.n = f.n + 1)
+        SELECT gen, CAST(block AS BIGINT) AS block, min(k) AS first_key, count(*) AS n_rows, CAST(sum(size) AS BIGINT) AS block_bytes FROM f GROUP BY gen, block""",
+    "segment_cut": "WITH r AS (SELECT event_id AS seq, row_number() OVER (ORDER BY event_id) AS n FROM events) SELECT (n - 1) // 1000 AS segment, count(*) AS n_puts, min(seq) AS first_seq, max(seq) AS last_seq FROM r GROUP BY 1",
+    "streaming_latest": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
+    "lineitem_latest": f"WITH {L} SELECT k, max(rec) AS rec FROM l GROUP BY k",
+    "lineitem_merge": f"WITH {L}, a AS (SELECT k, max(rec) AS r FROM l WHERE l_linenumber <= 3 GROUP BY k), b AS (SELECT k, max(rec) AS r FROM l WHERE l_linenumber > 3 GROUP BY k) SELECT coalesce(a.k, b.k) AS k, greatest(a.r, b.r) AS rec, CASE WHEN b.r IS NULL THEN 'left' WHEN a.r IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k",
+    "document_sizes": "SELECT source, CAST(sum(16 + strlen(source) + 8 + strlen(text)) AS BIGINT) AS mem_bytes, max(doc_id) AS last_t FROM documents WHERE source IS NOT NULL AND text IS NOT NULL GROUP BY source",
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: globals()[name] for name in _SQL}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
