@@ -12,19 +12,16 @@ from __future__ import annotations
 
 import heapq
 import json
-import re
 from functools import lru_cache
 
 import numpy as np
 import regex
 
+from .stretches import EXACT, byte_keys, byte_stretch, remembering
+
 #: The split pattern of this tokenizer family, as the tokenizer's format defines it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A border that every tokenization of this pattern has: before a blank or line feed that a visible character follows.
-CUT = re.compile(r"(?=[ \n]\S)")
 NEVER = np.int64(1) << 40
-#: Words that a worker remembers; beyond it, memory starts afresh.
-REMEMBERED = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -184,43 +181,22 @@ class Codec:
         self.proposed += len(words)
         return ids
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces (stretches between borders) that aren't remembered."""
-        if len(self.words) + len(pieces) > REMEMBERED:
-            self.words.clear()
-        new = [p for p in pieces if p not in self.words]
-        split = [self.split.findall(p) for p in new]
-        distinct = {w: None for ws in split for w in ws}
-        coded = dict(zip(distinct, (np.array(x, "<u4").tobytes() for x in self.encode_words([w.encode() for w in distinct]))))
-        self.words.update((p, b"".join([coded[w] for w in ws])) for p, ws in zip(new, split))
+    def _encode_new(self, keys: list[str]) -> dict[str, bytes]:
+        split = [[self.special[k[1:]]] if k[1:] in self.special else self.split.findall(byte_stretch(k)) for k in keys]
+        distinct = {w: None for ws in split for w in ws if isinstance(w, str)}
+        coded: dict[str | int, bytes] = dict(zip(distinct, (np.array(x, "<u4").tobytes() for x in self.encode_words([w.encode() for w in distinct]))))
+        coded |= {i: i.to_bytes(4, "little") for i in self.special.values()}
+        return {k: b"".join([coded[w] for w in ws]) for k, ws in zip(keys, split)}
+
+    def _keys(self, text: str) -> list[str]:
+        # a border between two stretches holds between special strings only
+        if self.special_cut and self.special_cut.search(text):
+            return [k for part in self.special_cut.split(text) if part for k in ([EXACT + part] if part in self.special else byte_keys(part))]
+        return byte_keys(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        held: list[list[str | int]] = []
-        wanted: set[str] = set()
-
-        def settle() -> None:
-            self.learn(wanted)
-            get = self.words
-            out.extend(b"".join([x.to_bytes(4, "little") if isinstance(x, int) else get[x] for x in parts]) for parts in held)
-            held.clear()
-            wanted.clear()
-
-        for text in texts:
-            parts: list[str | int] = []
-            for stretch in self.special_cut.split(text) if self.special_cut and self.special_cut.search(text) else (text,):
-                if stretch in self.special:
-                    parts.append(self.special[stretch])
-                elif stretch:
-                    pieces = CUT.split(stretch)
-                    wanted.update(pieces)
-                    parts += pieces
-            held.append(parts)
-            if len(wanted) > REMEMBERED // 4:
-                settle()
-        settle()
-        return out
+        return remembering([self._keys(t) for t in texts], self.words, self._encode_new)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -8,59 +8,56 @@ from functools import lru_cache
 
 import numpy as np
 
+from .stretches import EXACT, byte_keys, byte_stretch, remembering, word_keys
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Stretches that a worker remembers.
-REMEMBERED = 400_000
-#: Each kind of vocabulary has borders that its own splitting never crosses.
-BORDERS = {
-    #: byte-level: before a blank or line feed that a visible character follows
-    "byte": re.compile(r"(?=[ \n]\S)"),
-    #: white space is dropped and never in a token, so any run of it is a border
-    "word": re.compile(r"[ \n]+"),
-}
+#: Stretches that go to the library as one text, with an added token between them.
+JOINED = 256
 
 
 class StretchEncoder:
+    """kind: "byte" for byte-level vocabularies, "word" for ones that drop white space."""
+
     def __init__(self, path: str, kind: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.border, self.kind, self.seen = BORDERS[kind], kind, {}
+        self.kind, self.known = kind, {}
+        self.keys = byte_keys if kind == "byte" else word_keys
+        self.stretch = byte_stretch if kind == "byte" else str
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added_at = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        #: The library cuts a text at added tokens before anything else, so one of them separates stretches exactly.
+        self.mark = next(iter(self.added.items()), None)
+
+    def _encode_new(self, keys: list[str]) -> dict[str, bytes]:
+        texts, out = list(map(self.stretch, keys)), {}
+        word, mark = self.mark or ("", -1)
+        spans = [(i, min(i + JOINED, len(keys))) for i in range(0, len(keys), JOINED)]
+        for at in range(0, len(spans), 64):
+            batch = spans[at : at + 64]
+            for (i, j), e in zip(batch, self.tokenizer.encode_batch_fast([word.join(texts[i:j]) for i, j in batch], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                cuts = np.flatnonzero(ids == mark)
+                if len(cuts) != j - i - 1 or not word:  # a stretch has the mark itself
+                    out.update((keys[k], np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()) for k in range(i, j))
+                    continue
+                raw = ids.tobytes()
+                starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)]
+                out.update(zip(keys[i:j], [raw[a:b] for a, b in zip(starts, ends)]))
+        return out
 
-    def _stretches(self, text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str]:
         # white space before an added token ends a stretch of its own, so byte-level borders hold between added tokens only
         if self.kind == "byte" and self.added_at and self.added_at.search(text):
-            return [s for part in self.added_at.split(text) if part for s in ([part] if part in self.added else self.border.split(part))]
-        return self.border.split(text)
+            return [k for part in self.added_at.split(text) if part for k in ([EXACT + part] if part in self.added else byte_keys(part))]
+        return self.keys(text)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = []
-        held: list[list[str]] = []
-        wanted: set[str] = set()
-
-        def settle() -> None:
-            if len(self.seen) + len(wanted) > REMEMBERED:
-                self.seen.clear()
-            new = [s for s in wanted if s not in self.seen]
-            for i in range(0, len(new), 20_000):
-                for s, e in zip(new[i : i + 20_000], self.tokenizer.encode_batch_fast(new[i : i + 20_000], add_special_tokens=False)):
-                    self.seen[s] = np.array(e.ids, "<u4").tobytes()
-            out.extend(b"".join(map(self.seen.__getitem__, parts)) for parts in held)
-            held.clear()
-            wanted.clear()
-
-        for text in texts:
-            held.append(parts := self._stretches(text))
-            wanted.update(parts)
-            if len(wanted) > REMEMBERED // 4:
-                settle()
-        settle()
-        return out
+        return remembering([self._keys(t) for t in texts], self.known, self._encode_new)
 
 
 @lru_cache(maxsize=2)
