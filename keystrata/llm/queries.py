@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_documents
+from .jaccard_sql import OP8_SQL
 from .lines import OP4_SQL, dedup_lines
 from .quality import OP7_SQL, quality_rules
+from .substring import OP2_SQL
 
 
 def vocabulary(name: str) -> str:
@@ -19,6 +21,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import dedup_substrings
+
+    out = dedup_substrings(read_documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe_op import encode_decode
 
@@ -46,6 +55,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(read_documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -53,8 +68,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op8_jaccard_join, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op2_substring_dedup": OP2_SQL, "op4_line_dedup": OP4_SQL, "op7_quality_rules": OP7_SQL, "op8_jaccard_join": OP8_SQL}
