@@ -61,6 +61,12 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_documents(spark, sf_dir))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import score_documents
+
+    return score_documents(read_documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -68,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op8_jaccard_join, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op2_substring_dedup, op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op8_jaccard_join, op9_lm_scoring, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
