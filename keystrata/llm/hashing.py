@@ -119,14 +119,14 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
     def compare(table: pa.Table) -> pa.Table:
         if table.column("bucket")[0].as_py() < 0:
             return table.select(["chunk", "payload"]).append_column("head", pa.array([True] * len(table)))
-        values, owners, chunks, names = [], [], [], []
+        found, owners, chunks, names = [], [], [], []
         for k, (chunk, payload) in enumerate(zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist())):
             n = len(payload) // 8
-            values.append(np.frombuffer(payload, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(payload, "<u4", n, 2 * n))
+            found.append(np.frombuffer(payload, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(payload, "<u4", n, 2 * n))
             owners.append(np.frombuffer(payload, "<u2", n, 6 * n))
             chunks.append(np.full(n, k, np.uint32))
             names.append(chunk)
-        v, o, c = np.concatenate(values), np.concatenate(owners), np.concatenate(chunks)
+        v, o, c = np.concatenate(found), np.concatenate(owners), np.concatenate(chunks)
         order = np.argsort(v, kind="stable")
         v, o, c = v[order], o[order], c[order]
         same = v[1:] == v[:-1]

@@ -21,6 +21,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    return score_toxicity(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup_substrings
 
@@ -74,7 +80,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op8_jaccard_join, op9_lm_scoring, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_substring_dedup, op3_bpe_codec, op4_line_dedup, op5_token_files, op6_media_columns, op7_quality_rules, op8_jaccard_join, op9_lm_scoring, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

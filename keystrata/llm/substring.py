@@ -88,19 +88,34 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def anchors_of(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window: its anchor's hash and place (the leftmost of the least)."""
+def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows side by side with one anchor (the leftmost place of their least hash): first window, end, anchor's hash."""
     a = windows(h, anchor)
     span = window - anchor + 1
     n = len(a) - span + 1
     if n <= 0:
-        return a[:0], np.zeros(0, np.int64)
-    best, place = a[:n].copy(), np.arange(n)
-    for d in range(1, span):
-        other = a[d : d + n]
-        less = other < best
-        best[less], place[less] = other[less], np.flatnonzero(less) + d
-    return best, place
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), a[:0]
+    best, size = a, 1
+    while 2 * size <= span:
+        best = np.minimum(best[: len(best) - size], best[size:])
+        size *= 2
+    best = np.minimum(best[:n], best[span - size : span - size + n])
+    start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
+    end = np.append(start[1:], n)
+    runs: list[tuple] = []
+    while len(start):
+        place = np.full(len(start), -1)
+        for d in range(span):
+            new = (place < 0) & (a[start + d] == best[start])
+            place[new] = start[new] + d
+        stop = np.minimum(end, place + 1)
+        runs.append((start, stop))
+        more = stop < end  # the same hash again, further right
+        start, end = stop[more], end[more]
+    start, stop = (np.concatenate(x) for x in zip(*runs))
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], stop[order]
+    return start, stop, best[start]
 
 
 def _anchor_maker(window: int, anchor: int):
@@ -108,48 +123,54 @@ def _anchor_maker(window: int, anchor: int):
 
     def make(texts: list[str]):
         for text in texts:
-            best, place = anchors_of(hashes.of(words_of(text)), window, anchor)
-            if not len(best):
-                yield best, np.zeros(0, bool)
-                continue
-            _, at = np.unique(place, return_index=True)  # an anchor's place counts once
-            value, times = np.unique(best[at], return_counts=True)
+            value, times = np.unique(anchor_runs(hashes.of(words_of(text)), window, anchor)[2], return_counts=True)
             yield value, times > 1
 
     return make
 
 
+def _name(words: list[bytes]) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(b" ".join(words))
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
 def _segments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, text, bits, repeated -> a row per segment with a repeated anchor: s1, s2 (its hash), anchor, doc, start, wins, words."""
+    """doc_id, text, bits, repeated -> a row per segment with a repeated anchor: s1, s2 (its hash), anchor, doc, start, wins."""
 
     def run(batches):
         hashes = WordHashes()
         for batch in batches:
-            repeated = batch.column(3)
-            out: list[list] = [[] for _ in range(7)]
+            repeated, out = batch.column(3), []
             for i, (doc, text, bits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
                 words = words_of(text)
-                best, place = anchors_of(hashes.of(words), window, anchor)
-                if not len(best):
-                    continue
+                start, stop, best = anchor_runs(hashes.of(words), window, anchor)
                 hot = np.isin((best >> np.uint64(16 - bits)).astype(np.int64), np.asarray(repeated[i].values))
-                first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                ends = np.append(first[1:], len(place))
-                for a, b in zip(first[hot[first]].tolist(), ends[hot[first]].tolist()):
-                    own = b" ".join(words[a : b + window - 1])
-                    d = xxhash.xxh3_128_digest(own)
-                    for col, v in zip(out, (int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), int(best[a].view(np.int64)), doc, a, b - a, own.decode())):
-                        col.append(v)
-                if len(out[0]) > 20_000:
-                    yield batch_of(out)
-                    out = [[] for _ in range(7)]
-            yield batch_of(out)
+                for a, b, value in zip(start[hot].tolist(), stop[hot].tolist(), best[hot].view(np.int64).tolist()):
+                    out.append((*_name(words[a : b + window - 1]), value, doc, a, b - a))
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.int32()])], names=["s1", "s2", "anchor", "doc", "start", "wins"])
 
-    def batch_of(out):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["s1", "s2", "anchor", "doc", "start", "wins", "words"])
+    return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(run, "s1 bigint, s2 bigint, anchor bigint, doc bigint, start bigint, wins int")
 
-    return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(run, "s1 bigint, s2 bigint, anchor bigint, doc bigint, start bigint, wins int, words string")
+
+def _with_words(first: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """Distinct segments with their words, read at their first places."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = words_of(text)
+                for x in wanted:
+                    own = words[x["start"] : x["start"] + x["wins"] + window - 1]
+                    if _name(own) == (x["s1"], x["s2"]):
+                        out.append((x["s1"], x["s2"], x["anchor"], doc, x["start"], x["wins"], b" ".join(own).decode()))
+            cols = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.int32(), pa.string()])], names=["s1", "s2", "anchor", "doc", "start", "wins", "words"])
+
+    wanted = first.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("s1", "s2", "anchor", "start", "wins")).alias("wanted"))
+    keyed = texts.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), "text")
+    return keyed.join(wanted, keyed["doc"] == wanted["of"]).select("doc", "text", "wanted").mapInArrow(run, "s1 bigint, s2 bigint, anchor bigint, doc bigint, start bigint, wins int, words string")
 
 
 def _streamed(units: DataFrame, window: int) -> DataFrame:
@@ -180,9 +201,10 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     segments = written(_segments(marked, window, anchor), "segments")
     discard(flags)
     release(spark)
-    place = F.struct("doc", "start")
-    once = segments.groupBy("s1", "s2").agg(F.min(F.struct(place.alias("at"), "anchor", "wins", "words")).alias("m")).select("s1", "s2", "m.at.doc", "m.at.start", "m.anchor", "m.wins", "m.words")
-    once = written(once, "distinct")
+    first = segments.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("anchor").alias("anchor"), F.first("wins").alias("wins")).select("s1", "s2", "anchor", "at.doc", "at.start", "wins")
+    first = written(first, "first")
+    release(spark)
+    once = written(_with_words(first, texts, window), "distinct")
     release(spark)
     # an anchor of many distinct segments, as at the edges of a common passage, is dealt window by window
     crowded = once.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded"))
@@ -193,16 +215,18 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     single = dealt.where("crowded").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wins") - 1)))
     single = single.withColumn("words", F.array_join(F.slice(split, F.col("j") + 1, F.lit(window)), " ")).withColumn("start", F.col("start") + F.col("j"))
     # equal windows of a crowded anchor fold again, so a window that is everywhere is one row of its shard
-    first = single.groupBy("words").agg(F.min(F.struct("doc", "start", "s1", "s2", "j")).alias("m")).select("words", "m.*").withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
-    told = written(_streamed(whole, window).unionByName(_streamed(first, window)), "told")
-    later = single.join(first.select("s1", "s2", "j", F.lit(True).alias("first")), ["s1", "s2", "j"], "left").where("first IS NULL").select("s1", "s2", "j", F.array(F.lit(True)).alias("earlier"))
+    alone = single.groupBy("words").agg(F.min(F.struct("doc", "start", "s1", "s2", "j")).alias("m")).select("words", "m.*").withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    told = written(_streamed(whole, window).unionByName(_streamed(alone, window)), "told")
+    later = single.join(alone.select("s1", "s2", "j", F.lit(True).alias("is_first")), ["s1", "s2", "j"], "left").where("is_first IS NULL").select("s1", "s2", "j", F.array(F.lit(True)).alias("earlier"))
     earlier = told.unionByName(later).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("j", "earlier"))).alias("e")).select("s1", "s2", F.flatten(F.transform("e", lambda x: x["earlier"])).alias("earlier"))
-    fate = once.select("s1", "s2", F.col("doc").alias("d0"), F.col("start").alias("a0")).join(earlier, ["s1", "s2"])
+    # written, so that segments that are in very many documents can be split in the join
+    fate = written(first.select("s1", "s2", F.col("doc").alias("d0"), F.col("start").alias("a0")).join(earlier, ["s1", "s2"]), "fate")
+    release(spark)
     steps = F.sequence(F.lit(0), F.col("wins") - 1)
     goes = segments.select("s1", "s2", "doc", "start", "wins").join(fate, ["s1", "s2"]).where(~((F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0")) & ~F.array_contains("earlier", True)))
     goes = goes.withColumn("starts", F.when((F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0")), F.filter(F.transform(steps, lambda j: F.when(F.element_at("earlier", j + 1), F.col("start") + j)), lambda x: x.isNotNull())).otherwise(F.transform(steps, lambda j: F.col("start") + j)))
     out = written(goes.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
-    for used in (segments, once, told):
+    for used in (segments, first, once, told, fate):
         discard(used)
     release(spark)
     return out
