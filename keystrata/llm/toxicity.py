@@ -2,7 +2,7 @@
 
 The kernel of two strings sums over their common subsequences of LENGTH letters, gaps allowed within SPAN
 letters, each weighted by DECAY to the power of its extent in either string; so "id-iot", "idxiot" and "idiot" are
-close. Strings are a sentence's units: words as letters (case, accents, look-alike digits and inserted
+close. Strings are a sentence's units: words as letters (case, look-alike digits and inserted
 signs undone, their ends marked), long ones in overlapping parts, and runs of single letters joined. The kernel of a
 unit is between the unit and landmark units.
 
@@ -50,9 +50,9 @@ _WEIGHTS = DECAY ** (_OFFSETS[:, -1] - (LENGTH - 1.0))
 
 
 def letters(token: str) -> str:
-    """A token's letters, folded."""
+    """A token's letters in lower case; accents stay, as they tell words apart."""
     if not token.isascii():
-        token = "".join(c for c in unicodedata.normalize("NFKD", token) if not unicodedata.combining(c))
+        token = unicodedata.normalize("NFKC", token)
     token = token.lower()
     inner = token.strip("!$@#*.,;:?\"'()[]{}|-_")
     if not inner.isalpha():
