@@ -25,15 +25,15 @@ def _keys(docs: DataFrame, min_chars: int) -> DataFrame:
     )
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with the text's shared lines dropped: every column of docs, text replaced, plus n_lines and n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with the text's shared lines dropped: every column of docs, text replaced where a line went, plus n_lines and n_dropped.
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least min_chars
     code points in at least min_docs documents go from all documents but the one of largest doc_id.
     Each row counts as a document, so rows that repeat a doc_id count singly, and all rows of the
     largest doc_id keep the line. A null doc_id is below all others; if a key is in null ids only, they all
     keep it. A null or empty text is one empty line.
-    Columns n_lines and n_dropped of the input are replaced.
+    names has the names of the two new columns; columns of those names are replaced.
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # a key counts once in a row: the line of its least position stands for it
@@ -46,18 +46,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
         lines.join(shared, ["h1", "h2"]).where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "t").agg(F.collect_set("p").alias("gone"))
     )
-    names = {n: spare(docs, n) for n in ("ld_id", "ld_t", "ld_gone", "ld_lines")}
-    i, t, gone, split = (F.col(names[n]) for n in ("ld_id", "ld_t", "ld_gone", "ld_lines"))
-    goes = goes.select(F.col("doc_id").alias(names["ld_id"]), F.col("t").alias(names["ld_t"]), F.col("gone").alias(names["ld_gone"]))
-    here = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    out = here.join(goes, here["doc_id"].eqNullSafe(i) & (F.xxhash64(here["text"]) == t), "left")
-    out = out.withColumn(names["ld_lines"], F.split("text", "\n"))
+    own = {n: spare(docs, n) for n in ("ld_id", "ld_t", "ld_gone", "ld_lines")}
+    i, t, gone, split = (F.col(own[n]) for n in ("ld_id", "ld_t", "ld_gone", "ld_lines"))
+    goes = goes.select(F.col("doc_id").alias(own["ld_id"]), F.col("t").alias(own["ld_t"]), F.col("gone").alias(own["ld_gone"]))
+    out = docs.join(goes, docs["doc_id"].eqNullSafe(i) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == t), "left")
+    out = out.withColumn(own["ld_lines"], F.split(F.coalesce("text", F.lit("")), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), gone)
     return (
-        out.withColumn("n_lines", F.size(split).cast("long"))
-        .withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+        out.withColumn(names[0], F.size(split).cast("long"))
+        .withColumn(names[1], F.coalesce(F.size(gone), F.lit(0)).cast("long"))
         .withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda p: F.element_at(split, p + 1)), "\n")))
-        .drop(*names.values())
+        .drop(*own.values())
     )
 
 

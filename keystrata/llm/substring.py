@@ -232,20 +232,20 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     return out
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, str, str] = ("n_words", "n_removed", "kept")) -> DataFrame:
     """docs with repeated passages removed: every column of docs, text replaced by the kept words joined by blanks where words went, plus n_words, n_removed and kept (the kept words joined by one blank, of every text).
 
     Words are runs without the bytes 20 and 09-0D. A word goes if a window of `window` words that
     covers it also starts earlier: in a smaller doc_id, or before it in the same one; windows are judged on the
     input. A null or empty text has no words. Rows that repeat a doc_id are one document: they
     are judged alike and equal rows don't remove each other; a null doc_id precedes all
-    others. Texts in which nothing goes are left as they are. Columns n_words, n_removed and kept are replaced.
+    others. Texts in which nothing goes are left as they are. names has the names of the three new
+    columns; columns of those names are replaced.
     """
     starts = removed_windows(as_long(docs), window)
     key, gone, n_gone, out = (spare(docs, n) for n in ("sd_doc", "sd_starts", "sd_n", "sd_out"))
     starts = starts.select(F.col("doc").alias(key), F.col("starts").alias(gone))
-    here = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    joined = here.join(starts, F.coalesce(here["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
+    joined = docs.join(starts, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
 
     @F.pandas_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
     def keep(text, gone_):
@@ -267,9 +267,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
 
     keep = keep.asNondeterministic()  # so that it is evaluated once
-    joined = joined.withColumn(out, keep("text", gone))
-    res = joined.withColumn("n_words", F.col(f"{out}.n_words")).withColumn("n_removed", F.col(f"{out}.n_removed")).withColumn("kept", F.col(f"{out}.kept"))
-    return res.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))).drop(key, gone, out)
+    joined = joined.withColumn(out, keep(F.coalesce("text", F.lit("")), gone))
+    for name, part in zip(names, ("n_words", "n_removed", "kept")):
+        joined = joined.withColumn(name, F.col(f"{out}.{part}"))
+    return joined.withColumn("text", F.when(F.col(f"{out}.n_removed") > 0, F.col(f"{out}.kept")).otherwise(F.col("text"))).drop(key, gone, out)
 
 
 OP2_SQL = r"""
