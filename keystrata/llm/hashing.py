@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words that a worker remembers the hashes of: the first that it meets.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _A, _B, _C = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -49,7 +49,9 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 
 
 #: A chunk of documents is settled together: this many hashes, or as many documents as 16 bits can number.
-CHUNK_HASHES, CHUNK_DOCS, DONE = 2_000_000, 60_000, 0xFFFF
+CHUNK_HASHES, CHUNK_DOCS, DONE = 1_000_000, 60_000, 0xFFFF
+#: Bits that are sent below those of the bucket: one byte, of which sorted hashes have long runs, and four.
+REST = 40
 
 
 def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = False) -> DataFrame:
@@ -57,16 +59,16 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
 
     docs: doc_id BIGINT and text. hashes_of() makes, in a worker, a function from texts to pairs
     (sorted distinct uint64 hashes, 16-byte signature). Returns doc_id, n, sig, n_repeated. A
-    chunk of documents settles hashes that repeat in it and sends each of the others once, as 48 bits
+    chunk of documents settles hashes that repeat in it and sends each of the others once, as REST bits
     below those of its bucket; a bucket tells the chunks which of theirs others have too. A hash
     that is everywhere is sent once a chunk, so no bucket grows with a hot hash. Two hashes that
     agree in all bits sent count as repeated, so n_repeated may be too high, never too low.
 
     With values, hashes_of()'s second item is instead a mask of hashes that repeat in the document
-    itself, and the result is doc_id, bits and repeated: the leading 48 + bits bits of each repeated hash.
+    itself, and the result is doc_id, bits and repeated: the leading REST + bits bits of each repeated hash.
     """
     bits = max(1, (buckets - 1).bit_length())
-    low = np.uint64(16 - bits)
+    low = np.uint64(64 - REST - bits)
 
     def spread(batches):
         from pyspark import TaskContext
@@ -96,12 +98,12 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
             rows = [(chunk, -1 - chunk % 4096, head)]
             flat, owner = flat[first], np.where(alone, owner, DONE)[first].astype(np.uint16)
             bucket = flat >> np.uint64(64 - bits)
-            rest = (flat << np.uint64(bits)) >> np.uint64(16)
+            rest = (flat << np.uint64(bits)) >> np.uint64(64 - REST)
             edges = np.searchsorted(bucket, np.arange((1 << bits) + 1, dtype=np.uint64))
             for b, (i, j) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
                 if j > i:
                     r = rest[i:j]
-                    rows.append((chunk, b, (r >> np.uint64(32)).astype("<u2").tobytes() + r.astype("<u4").tobytes() + owner[i:j].astype("<u2").tobytes()))
+                    rows.append((chunk, b, (r >> np.uint64(32)).astype(np.uint8).tobytes() + r.astype("<u4").tobytes() + owner[i:j].astype("<u2").tobytes()))
             c, b, p = zip(*rows)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(b, pa.int64()), pa.array(p, pa.binary())], names=["chunk", "bucket", "payload"])
 
@@ -121,9 +123,9 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
             return table.select(["chunk", "payload"]).append_column("head", pa.array([True] * len(table)))
         found, owners, chunks, names = [], [], [], []
         for k, (chunk, payload) in enumerate(zip(table.column("chunk").to_pylist(), table.column("payload").to_pylist())):
-            n = len(payload) // 8
-            found.append(np.frombuffer(payload, "<u2", n).astype(np.uint64) << np.uint64(32) | np.frombuffer(payload, "<u4", n, 2 * n))
-            owners.append(np.frombuffer(payload, "<u2", n, 6 * n))
+            n = len(payload) // 7
+            found.append(np.frombuffer(payload, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(payload, "<u4", n, n))
+            owners.append(np.frombuffer(payload, "<u2", n, 5 * n))
             chunks.append(np.full(n, k, np.uint32))
             names.append(chunk)
         v, o, c = np.concatenate(found), np.concatenate(owners), np.concatenate(chunks)
@@ -139,7 +141,7 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
         o, c, v = o[order], c[order], v[order]
         edges = np.searchsorted(c, np.arange(len(names) + 1))
         out = []
-        top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(48)
+        top = np.uint64(table.column("bucket")[0].as_py()) << np.uint64(REST)
         for i, j in zip(edges[:-1].tolist(), edges[1:].tolist()):
             if values:
                 out.append(pack(o[i:j], v[i:j] | top))

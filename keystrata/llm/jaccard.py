@@ -4,7 +4,7 @@
    shingles occur in another set; the rest are alone and leave.
 2. Sets that remain are indexed by their prefixes under one order of shingles (frequent ones
    last): linked sets share a shingle in their prefixes.
-3. Set relations skip most of the work. Each set is first compared with one pivot of its lists; sets
+3. Set relations skip most of the work. In a few turns, each set is compared with one pivot of its lists; sets
    linked so far form a block of the index lists. A list of a single block is skipped whole. Two blocks
    that meet in a list are compared by their roots: as 1 - J is a metric, with radii r of the blocks,
    a root distance D > 1/4 + r1 + r2 means that no member of one links with a member of the other,
@@ -27,6 +27,8 @@ from .hashing import LOWER, WordHashes, as_long, bucket_count, mix, repeated_has
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Shingles in so many sets come last in the order; at most so many of them (8 bytes each) are broadcast, the most frequent. Any order is exact.
 FREQUENT, FREQUENT_MOST = 48, 1_000_000
+#: Turns in which each set meets one pivot, before blocks are compared.
+STARS = 3
 #: Pairs of one set that are verified by one task.
 TOGETHER = 1000
 
@@ -69,7 +71,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
     """token, rep, n, pos of the prefixes: pos counts from 0 in the order."""
     counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
-    top = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST).toPandas()  # at most FREQUENT_MOST rows
+    top = counts.orderBy(F.col("count").desc(), "token").limit(FREQUENT_MOST).toArrow().to_pandas()  # at most FREQUENT_MOST rows
     top = top.sort_values(["count", "token"])
     order = np.argsort(top["token"].to_numpy(np.int64))
     frequent = sets.sparkSession.sparkContext.broadcast((top["token"].to_numpy(np.int64)[order], (order + 1).astype(np.int32)))
@@ -120,42 +122,62 @@ def _fits(num: int, den: int):
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((num + den) * F.least(n - i, m - j) >= num * (n + m))
 
 
+def _blocks(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """rep, root of every set under the links; written."""
+    found = components(links)
+    return written(sets.select("rep").distinct().join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("root")), "blocks")
+
+
+def _meeting(entries: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Entries, with their blocks, of lists in which blocks meet; a list of one block is skipped whole."""
+    placed = entries.join(blocks, "rep")
+    lists = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
+    return placed.join(lists, "token")
+
+
 def _rep_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) among distinct sets that give the components of all their links."""
     spark = sets.sparkSession
     all_entries = _prefixes(sets, num, den)
-    shared = all_entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("pivot")).where("c > 1").drop("c")
+    shared = all_entries.groupBy("token").count().where("count > 1").select("token")
     entries = written(all_entries.join(shared, "token"), "entries")
     release(spark)
-    # a pivot for each set: the least set of most of its lists
-    star = entries.where("rep <> pivot").groupBy("rep", "pivot").count().groupBy("rep").agg(F.max(F.struct("count", -F.col("pivot"))).alias("m"))
-    first = _verified(star.select((-F.col("m.col2")).alias("a"), F.col("rep").alias("b")), sets, "star")
-    links = written(_linked(first, num, den), "links")
-    block = written(components(links), "blocks")
-    # distances to roots
-    member = block.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    reach = _verified(member, sets, "reach").select(F.col("a").alias("root"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("far"))
-    reach = written(sets.select("rep").join(reach, "rep", "left").select("rep", F.coalesce("root", "rep").alias("root"), F.coalesce("far", F.lit(0.0)).alias("far")), "reach")
-    radius = reach.groupBy("root").agg(F.max("far").alias("radius"))
-    # lists in which blocks meet; sizes and positions of a block in a list are kept as ranges, to skip it whole
-    placed = entries.join(reach, "rep").select("token", "rep", "n", "pos", "root", "far")
-    lists = placed.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("token")
-    placed = written(placed.join(lists, "token"), "placed")
-    release(spark)
+    blocks = written(sets.select("rep").distinct().withColumn("root", F.col("rep")), "blocks")
+    links, placed = None, written(entries.join(blocks, "rep"), "placed")
+    for turn in range(STARS):
+        # each set meets one set of another block: the pivot of most of its lists, drawn by another hash in each turn
+        pivot = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "rep").alias("h"), F.col("rep").alias("pivot"), F.col("root").alias("pivot_root"))).alias("m")).select("token", "m.pivot", "m.pivot_root")
+        votes = placed.join(pivot, "token").where("root <> pivot_root").groupBy("rep", "pivot").count()
+        star = votes.groupBy("rep").agg(F.max(F.struct("count", "pivot")).alias("m")).select(F.col("m.pivot").alias("a"), F.col("rep").alias("b"))
+        new = _linked(_verified(star, sets, "star"), num, den)
+        links = written(new if links is None else links.unionByName(new), "links")
+        blocks = _blocks(links, sets)
+        discard(placed)
+        placed = written(_meeting(entries, blocks), "placed")
+        release(spark)
+        if placed.isEmpty():
+            return links
+    # distances of members to their roots
+    member = blocks.where("root <> rep").select(F.col("root").alias("a"), F.col("rep").alias("b"))
+    far = _verified(member.join(placed.select("root").distinct(), member["a"] == F.col("root"), "left_semi"), sets, "reach").select(F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("far")).groupBy("rep").agg(F.max("far").alias("far"))
+    placed = written(placed.join(far, "rep", "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "placed")
+    reach = blocks.join(far, "rep").groupBy("root").agg(F.max("far").alias("radius"))
+    # blocks that meet in a list where their ranges of sizes and positions leave a chance
     ranges = placed.groupBy("token", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"))
     x, y = ranges.alias("x"), ranges.alias("y")
     meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (den * F.col("x.n1") >= num * F.col("y.n0")) & (den * F.col("y.n1") >= num * F.col("x.n0")) & ((num + den) * F.least("x.rest", "y.rest") >= num * (F.col("x.n0") + F.col("y.n0"))))
-    near = _verified(meet.select(F.col("x.root").alias("a"), F.col("y.root").alias("b")).distinct(), sets, "roots")
-    ra, rb = radius.select(F.col("root").alias("a"), F.col("radius").alias("ra")), radius.select(F.col("root").alias("b"), F.col("radius").alias("rb"))
-    gap, slack = F.lit(1 - num / den), F.lit(1e-9)
-    joined = _linked(near, num, den)
-    doubtful = near.where(F.lit(den) * F.col("common") < F.lit(num) * F.col("total")).withColumn("d", 1 - F.col("common") / F.col("total")).join(ra, "a").join(rb, "b").where(F.col("d") <= gap + F.col("ra") + F.col("rb") + slack).where("ra + rb > 0").select("a", "b", "d")
-    doubtful = written(doubtful, "doubtful")
+    meet = written(meet.select("x.token", F.col("x.root").alias("a"), F.col("y.root").alias("b")), "meet")
+    near = _verified(meet.select("a", "b").distinct(), sets, "roots")
+    ra, rb = reach.select(F.col("root").alias("a"), F.col("radius").alias("ra")), reach.select(F.col("root").alias("b"), F.col("radius").alias("rb"))
+    gap, slack, zero = F.lit(1 - num / den), F.lit(1e-9), F.lit(0.0)
+    doubtful = near.where(F.lit(den) * F.col("common") < F.lit(num) * F.col("total")).withColumn("d", 1 - F.col("common") / F.col("total")).join(ra, "a", "left").join(rb, "b", "left")
+    doubtful = doubtful.where((F.coalesce("ra", zero) + F.coalesce("rb", zero) > 0) & (F.col("d") <= gap + F.coalesce("ra", zero) + F.coalesce("rb", zero) + slack)).select("a", "b", "d")
+    # what is left is opened list by list
     p = placed.select("token", F.col("rep").alias("p"), F.col("n"), F.col("pos").alias("i"), F.col("root").alias("a"), F.col("far").alias("fa"))
     q = placed.select("token", F.col("rep").alias("q"), F.col("n").alias("m"), F.col("pos").alias("j"), F.col("root").alias("b"), F.col("far").alias("fb"))
-    opened = p.join(doubtful, "a").join(q, ["token", "b"]).where(_fits(num, den) & (F.col("d") <= gap + F.col("fa") + F.col("fb") + slack)).where("fa + fb > 0")
+    opened = meet.join(doubtful, ["a", "b"]).join(p, ["token", "a"]).join(q, ["token", "b"]).where(_fits(num, den) & (F.col("d") <= gap + F.col("fa") + F.col("fb") + slack)).where("fa + fb > 0")
     rest = _verified(opened.select(F.col("p").alias("a"), F.col("q").alias("b")).distinct(), sets, "opened")
-    return links.unionByName(joined).unionByName(_linked(rest, num, den))
+    return links.unionByName(_linked(near, num, den)).unionByName(_linked(rest, num, den))
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
