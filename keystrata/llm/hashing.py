@@ -95,7 +95,7 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
             head = np.array([i or 0 for i in ids], "<i8").tobytes() + n.astype("<u4").tobytes() + own.tobytes() + (bytes(16 * len(n)) if values else b"".join(sigs)) + known.astype(np.uint8).tobytes()
             if values:
                 head = np.array([len(n)], "<u8").tobytes() + head + pack(owner[~alone], flat[~alone] >> low)
-            rows = [(chunk, -1 - chunk % 4096, head)]
+            rows = [(chunk, -1 - chunk, head)]
             flat, owner = flat[first], np.where(alone, owner, DONE)[first].astype(np.uint16)
             bucket = flat >> np.uint64(64 - bits)
             rest = (flat << np.uint64(bits)) >> np.uint64(64 - REST)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, spare, written
-from .hashing import WordHashes, as_long, bucket_count, repeated_hashes, windows
+from .hashing import REST, WordHashes, as_long, bucket_count, repeated_hashes, windows
 
 WINDOW, ANCHOR = 20, 8
 #: Segments (of some 26 words) in a shard on average, and distinct segments of one anchor beyond which its windows are dealt singly.
@@ -83,6 +83,12 @@ class SuffixAutomaton:
         return out
 
 
+def sliced(batches, rows: int = 256):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words_of(text: str) -> list[bytes]:
     """bytes.split() parts at just the six bytes of the contract."""
     return text.encode().split()
@@ -139,12 +145,12 @@ def _segments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         hashes = WordHashes()
-        for batch in batches:
-            repeated, out = batch.column(3), []
-            for i, (doc, text, bits) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+        for part in sliced(batches):
+            repeated, out = part.column(3), []
+            for i, (doc, text, bits) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())):
                 words = words_of(text)
                 start, stop, best = anchor_runs(hashes.of(words), window, anchor)
-                hot = np.isin((best >> np.uint64(16 - bits)).astype(np.int64), np.asarray(repeated[i].values))
+                hot = np.isin((best >> np.uint64(64 - REST - bits)).astype(np.int64), np.asarray(repeated[i].values))
                 for a, b, value in zip(start[hot].tolist(), stop[hot].tolist(), best[hot].view(np.int64).tolist()):
                     out.append((*_name(words[a : b + window - 1]), value, doc, a, b - a))
             cols = list(zip(*out)) or [[]] * 6
@@ -157,7 +163,7 @@ def _with_words(first: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """Distinct segments with their words, read at their first places."""
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             out = []
             for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = words_of(text)
@@ -243,34 +249,37 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
     columns; columns of those names are replaced.
     """
     starts = removed_windows(as_long(docs), window)
-    key, gone, n_gone, out = (spare(docs, n) for n in ("sd_doc", "sd_starts", "sd_n", "sd_out"))
+    key, gone = spare(docs, "sd_doc"), spare(docs, "sd_starts")
     starts = starts.select(F.col("doc").alias(key), F.col("starts").alias(gone))
     joined = docs.join(starts, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
 
-    @F.pandas_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
-    def keep(text, gone_):
-        import pandas as pd
-
-        rows = []
-        for t, g in zip(text, gone_):
-            words = words_of(t)
-            if g is not None and len(g):
-                edge = np.zeros(len(words) + 1, np.int64)
-                g = np.asarray(g, np.int64)
-                g = g[g + window <= len(words)]
-                np.add.at(edge, g, 1)
-                np.add.at(edge, g + window, -1)
-                left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
-                rows.append((len(words), len(words) - len(left), b" ".join([words[i] for i in left.tolist()]).decode()))
-            else:
-                rows.append((len(words), 0, b" ".join(words).decode()))
-        return pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-
-    keep = keep.asNondeterministic()  # so that it is evaluated once
-    joined = joined.withColumn(out, keep(F.coalesce("text", F.lit("")), gone))
-    for name, part in zip(names, ("n_words", "n_removed", "kept")):
-        joined = joined.withColumn(name, F.col(f"{out}.{part}"))
-    return joined.withColumn("text", F.when(F.col(f"{out}.n_removed") > 0, F.col(f"{out}.kept")).otherwise(F.col("text"))).drop(key, gone, out)
+    joined = joined.drop(key, *[c for c in docs.columns if c.lower() in names])
+    fields = [f for f in joined.schema if f.name != gone]
+    at_text, at_gone = joined.columns.index("text"), joined.columns.index(gone)
+
+    def run(batches):
+        for part in sliced(batches):
+            new: list[list] = [[], [], [], []]
+            for t, g in zip(part.column(at_text).to_pylist(), part.column(at_gone)):
+                words = words_of(t or "")
+                if g.is_valid and len(g):
+                    edge = np.zeros(len(words) + 1, np.int64)
+                    first = np.asarray(g.values, np.int64)
+                    first = first[first + window <= len(words)]  # another text of the same id may be longer
+                    np.add.at(edge, first, 1)
+                    np.add.at(edge, first + window, -1)
+                    left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+                    kept = b" ".join([words[i] for i in left.tolist()]).decode()
+                    n_gone = len(words) - len(left)
+                else:
+                    kept, n_gone = b" ".join(words).decode(), 0
+                for col, v in zip(new, (kept if n_gone else t, len(words), n_gone, kept)):
+                    col.append(v)
+            columns = [pa.array(new[0], pa.string()) if i == at_text else c for i, c in enumerate(part.columns) if i != at_gone]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(new[1], pa.int64()), pa.array(new[2], pa.int64()), pa.array(new[3], pa.string())], names=[*(f.name for f in fields), *names])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` string"
+    return joined.mapInArrow(run, schema)
 
 
 OP2_SQL = r"""
