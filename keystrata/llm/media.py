@@ -72,6 +72,8 @@ def decode_png(media: bytes) -> np.ndarray:
         if at + 12 > len(media):
             raise ValueError("PNG ends early")
         n, kind = struct.unpack_from(">I4s", media, at)
+        if at + 12 + n > len(media):
+            raise ValueError("PNG ends early")
         body = media[at + 8 : at + 8 + n]
         if struct.unpack_from(">I", media, at + 8 + n)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r} is wrong")
