@@ -261,7 +261,7 @@ class Detector:
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.string()))], names=["s", "toxic", "units"])
 
         each = train.mapInArrow(sentences, "s bigint, toxic int, units array<string>").groupBy("s").agg(F.min("toxic").alias("toxic"), F.first("units").alias("units"))
-        stats = each.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).toPandas()  # bounded by the sample
+        stats = each.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).toArrow().to_pandas()  # bounded by the sample
         stats = stats.sort_values(["n", "unit"], ascending=[False, True])
         all_ = max(1, int(stats["n"].sum()))
         rate = min(0.9, max(1e-6, float(stats["t"].sum()) / all_))
@@ -277,7 +277,7 @@ class Detector:
         clean = clean[~clean["unit"].isin(positive)]
         self.machine = Machine(positive, clean["unit"].tolist(), clean["n"].to_numpy())
         self.positive = positive
-        rows = self._features(train).toPandas()  # bounded by the sample
+        rows = self._features(train).toArrow().to_pandas()  # bounded by the sample
         train.unpersist()
         x, y = np.array(rows["x"].tolist(), float).reshape(-1, 3), rows["toxic"].to_numpy(float)
         self.weights = logistic(x, y, np.ones(len(y))) if len(set(y)) == 2 else np.array([0.0, 0.0, 0.0, -3.0])
