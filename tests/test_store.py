@@ -114,3 +114,17 @@ def test_levels_merge_overlapping():
     levels = Levels(runs=[[info("10", "20"), info("30", "40"), info("50", "60")]])
     levels.merge_into(0, info("15", "35"), merge)
     assert [(t.begin, t.end, t.n_rows) for t in levels.runs[0]] == [("10", "40", 3), ("50", "60", 1)]
+
+
+def test_random_load(spark, tmp_path):
+    from keystrata.sources.generate import random_puts
+
+    load = random_puts(spark, 3000, seed=5, keys=200)
+    rows = [(bytes(r["k"]), r["t"], bytes(r["v"])) for r in load.collect()]
+    assert all(len(k) == len(v) == 8 and 0 <= t < 1024 for k, t, v in rows) and len({k for k, _, _ in rows}) <= 200
+    assert rows == [(bytes(r["k"]), r["t"], bytes(r["v"])) for r in random_puts(spark, 3000, seed=5, keys=200).collect()]
+    store = Store(spark, str(tmp_path / "s"), segment_bytes=40 * 1000)
+    for i in range(3):
+        store.put(load.where(F.col("seq") % 3 == i))
+    assert store.mem_size() == 0 and len(store.levels.base) == 3
+    assert contents(store) == {k: max((t, v) for x, t, v in rows if x == k) for k in {r[0] for r in rows}}
