@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, spare
+from .common import WHITE, spare, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -42,6 +42,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, names:
     shared = (
         once.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h1", "k.h2").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     )
+    # written, so that a line which is in very many documents can be split in the join
+    shared = written(shared, "shared-lines")
     goes = (
         lines.join(shared, ["h1", "h2"]).where(F.col("keeper").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("keeper")))
         .groupBy("doc_id", "t").agg(F.collect_set("p").alias("gone"))
