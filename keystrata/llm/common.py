@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
-import os
-import tempfile
-import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, shared_dir, shared_path, written
+
 #: The white space of the contracts: bytes 20 and 09 to 0D, nothing else.
 WHITE = " \t\n\x0b\x0c\r"
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
@@ -19,37 +21,27 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    set_to = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return set_to or os.path.join(tempfile.gettempdir(), "checkpoints")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+def give_back() -> None:
+    """Give memory that is free back to the system: Spark reuses Python workers, and an idle one counts too."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no more than reading it again."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
+def tidy(run):
+    """A mapInArrow function that gives its memory back when its partition is done."""
 
+    def outer(batches):
+        yield from run(batches)
+        give_back()
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_written_at", None)
-    if path:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return outer
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
-    gc.collect()
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more, and give free memory back."""
+    give_back()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -68,3 +60,6 @@ def spare(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base = f"_{base}"
     return base
+
+
+__all__ = ["WHITE", "WORD_GAP", "discard", "doc_number", "read_documents", "release", "shared_dir", "shared_path", "spare", "tidy", "whole_text", "written"]

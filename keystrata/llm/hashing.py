@@ -8,21 +8,58 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: Words that a worker remembers the hashes of: the first that it meets.
-REMEMBERED = 200_000
 _A, _B, _C = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
+_LOWERED = _VALUES[np.frombuffer(LOWER, np.uint8)]
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+class Powers:
+    """Powers of an odd number and of its inverse modulo 2^64, as many as are needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse = base, pow(base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            k = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+
+_BYTES, _ITEMS, _OTHER = Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D), Powers(0xD1342543DE82EF95)
+
 
+def word_hashes(text: str, lower: bool = False) -> np.ndarray:
+    """A hash for each word (run without the bytes 20 and 09-0D): a polynomial of its bytes, from running sums over the text."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    inside = np.empty(len(raw) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = ~_SPACE[raw]
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    up, down = _BYTES.first(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_LOWERED if lower else _VALUES)[raw] * up[:-1], out=sums[1:])
+    h = (sums[end] - sums[start]) * down[start]
+    return mix(h, (end - start).astype(np.uint64))
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < REMEMBERED:
-            self[word] = h
-        return h
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def span_names(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each span of items: two polynomials of their hashes."""
+    out = []
+    for powers, items in ((_ITEMS, h), (_OTHER, mix(h, h ^ _C))):
+        up, down = powers.first(len(h) + 1)
+        sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(items * up[:-1], out=sums[1:])
+        out.append(mix((sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64)).view(np.int64))
+    return out[0], out[1]
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -180,7 +217,7 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
                 own[np.frombuffer(payload, "<u2", m)] += np.frombuffer(payload, "<u4", m, 2 * m)
         return pa.table({"doc_id": pa.array(ids, mask=~known), "n": pa.array(sizes.astype(np.int64)), "sig": pa.array([sigs[16 * i : 16 * i + 16] for i in range(n)], pa.binary()), "n_repeated": pa.array(own)})
 
-    sent = docs.select("doc_id", "text").mapInArrow(spread, "chunk bigint, bucket bigint, payload binary")
+    sent = docs.select("doc_id", "text").mapInArrow(tidy(spread), "chunk bigint, bucket bigint, payload binary")
     told = sent.groupBy("bucket").applyInArrow(compare, "chunk bigint, payload binary, head boolean")
     if values:
         return told.groupBy("chunk").applyInArrow(settle_values, "doc_id bigint, bits int, repeated array<bigint>")

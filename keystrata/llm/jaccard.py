@@ -20,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, written
+from .common import discard, release, tidy, written
 from .components import components
-from .hashing import LOWER, WordHashes, as_long, bucket_count, mix, repeated_hashes, windows
+from .hashing import as_long, bucket_count, mix, repeated_hashes, windows, word_hashes
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Shingles in so many sets come last in the order; at most so many of them (8 bytes each) are broadcast, the most frequent. Any order is exact.
@@ -35,11 +35,10 @@ TOGETHER = 1000
 
 def set_maker(k: int):
     """In a worker: texts to (sorted distinct shingle hashes, signature)."""
-    hashes = WordHashes()
 
     def make(texts: list[str]):
         for text in texts:
-            h = hashes.of(text.encode().translate(LOWER).split())
+            h = word_hashes(text, lower=True)
             if len(h) >= k:
                 s = np.unique(windows(h, k))
             elif len(h):
@@ -65,7 +64,7 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
                 rows = [(i, s) for i, sig, (s, own) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), make(part.column(2).to_pylist())) if sig == own]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
 
-    return texts.select("rep", "sig", "text").mapInArrow(run, "rep bigint, n bigint, tokens array<bigint>")
+    return texts.select("rep", "sig", "text").mapInArrow(tidy(run), "rep bigint, n bigint, tokens array<bigint>")
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -91,7 +90,7 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
                 out.append(s[np.lexsort((s, late))][: n - (num * n + den - 1) // den + 1])
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["rep", "n", "prefix"])
 
-    lists = sets.mapInArrow(run, "rep bigint, n bigint, prefix array<bigint>")
+    lists = sets.mapInArrow(tidy(run), "rep bigint, n bigint, prefix array<bigint>")
     return lists.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
 
 

@@ -18,12 +18,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, release, spare, written
-from .hashing import REST, WordHashes, as_long, bucket_count, repeated_hashes, windows
+from .common import discard, release, spare, tidy, written
+from .hashing import REST, as_long, bucket_count, repeated_hashes, span_names, windows, word_hashes
 
 WINDOW, ANCHOR = 20, 8
 #: Segments (of some 26 words) in a shard on average, and distinct segments of one anchor beyond which its windows are dealt singly.
@@ -108,12 +107,9 @@ def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
     best = np.minimum(best[:n], best[span - size : span - size + n])
     start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
     end = np.append(start[1:], n)
-    runs: list[tuple] = []
+    runs, steps = [], np.arange(span)
     while len(start):
-        place = np.full(len(start), -1)
-        for d in range(span):
-            new = (place < 0) & (a[start + d] == best[start])
-            place[new] = start[new] + d
+        place = start + (a[start[:, None] + steps] == best[start][:, None]).argmax(1)
         stop = np.minimum(end, place + 1)
         runs.append((start, stop))
         more = stop < end  # the same hash again, further right
@@ -125,58 +121,56 @@ def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
 
 
 def _anchor_maker(window: int, anchor: int):
-    hashes = WordHashes()
-
     def make(texts: list[str]):
         for text in texts:
-            value, times = np.unique(anchor_runs(hashes.of(words_of(text)), window, anchor)[2], return_counts=True)
+            value, times = np.unique(anchor_runs(word_hashes(text), window, anchor)[2], return_counts=True)
             yield value, times > 1
 
     return make
 
 
-def _name(words: list[bytes]) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(b" ".join(words))
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
-
-
 def _segments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, text, bits, repeated -> a row per segment with a repeated anchor: s1, s2 (its hash), anchor, doc, start, wins."""
+    """doc_id, text, bits, repeated -> a row per segment with a repeated anchor: s1, s2 (its hash), doc, start, wins."""
 
     def run(batches):
-        hashes = WordHashes()
         for part in sliced(batches):
             repeated, out = part.column(3), []
             for i, (doc, text, bits) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())):
-                words = words_of(text)
-                start, stop, best = anchor_runs(hashes.of(words), window, anchor)
+                h = word_hashes(text)
+                start, stop, best = anchor_runs(h, window, anchor)
                 hot = np.isin((best >> np.uint64(64 - REST - bits)).astype(np.int64), np.asarray(repeated[i].values))
-                for a, b, value in zip(start[hot].tolist(), stop[hot].tolist(), best[hot].view(np.int64).tolist()):
-                    out.append((*_name(words[a : b + window - 1]), value, doc, a, b - a))
-            cols = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.int32()])], names=["s1", "s2", "anchor", "doc", "start", "wins"])
+                start, stop = start[hot], stop[hot]
+                out.append((*span_names(h, start, stop + window - 1), np.full(len(start), doc), start.astype(np.int32), (stop - start).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["s1", "s2", "doc", "start", "wins"])
 
-    return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(run, "s1 bigint, s2 bigint, anchor bigint, doc bigint, start bigint, wins int")
+    return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(tidy(run), "s1 bigint, s2 bigint, doc bigint, start int, wins int")
 
 
-def _with_words(first: DataFrame, texts: DataFrame, window: int) -> DataFrame:
-    """Distinct segments with their words, read at their first places."""
+def _with_words(first: DataFrame, texts: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Distinct segments with their anchors and words, read at their first places."""
 
     def run(batches):
-        for batch in sliced(batches):
-            out = []
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = words_of(text)
-                for x in wanted:
-                    own = words[x["start"] : x["start"] + x["wins"] + window - 1]
-                    if _name(own) == (x["s1"], x["s2"]):
-                        out.append((x["s1"], x["s2"], x["anchor"], doc, x["start"], x["wins"], b" ".join(own).decode()))
-            cols = list(zip(*out)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64()] * 5 + [pa.int32(), pa.string()])], names=["s1", "s2", "anchor", "doc", "start", "wins", "words"])
-
-    wanted = first.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("s1", "s2", "anchor", "start", "wins")).alias("wanted"))
+        for part in sliced(batches):
+            out: list[list] = [[] for _ in range(7)]
+            for i, (doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
+                s1, s2, start, wins = (np.asarray(x) for x in part.column(2)[i].values.flatten())
+                words, h = words_of(text), word_hashes(text)
+                ok = start + wins + window - 1 <= len(words)  # another text of the same id may be shorter, or another
+                s1, s2, start, wins = s1[ok], s2[ok], start[ok], wins[ok]
+                a, b = span_names(h, start, start + wins + window - 1)
+                ok = (a == s1) & (b == s2)
+                s1, s2, start, wins = s1[ok], s2[ok], start[ok], wins[ok]
+                run_start, _, best = anchor_runs(h, window, anchor)
+                own = best[np.searchsorted(run_start, start, side="right") - 1].view(np.int64)
+                for col, v in zip(out, (s1, s2, own, [doc] * len(s1), start, wins)):
+                    col.extend(v.tolist() if isinstance(v, np.ndarray) else v)
+                out[6] += [b" ".join(words[a : a + n + window - 1]).decode() for a, n in zip(start.tolist(), wins.tolist())]
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["s1", "s2", "anchor", "doc", "start", "wins", "words"])
+
+    wanted = first.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("s1", "s2", "start", "wins")).alias("wanted"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), "text")
-    return keyed.join(wanted, keyed["doc"] == wanted["of"]).select("doc", "text", "wanted").mapInArrow(run, "s1 bigint, s2 bigint, anchor bigint, doc bigint, start bigint, wins int, words string")
+    return keyed.join(wanted, keyed["doc"] == wanted["of"]).select("doc", "text", "wanted").mapInArrow(tidy(run), "s1 bigint, s2 bigint, anchor bigint, doc bigint, start int, wins int, words string")
 
 
 def _streamed(units: DataFrame, window: int) -> DataFrame:
@@ -195,7 +189,7 @@ def _streamed(units: DataFrame, window: int) -> DataFrame:
 
 
 def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """texts: doc_id BIGINT, text. A row per doc_id with windows that occur earlier: doc, starts.
+    """texts: doc_id BIGINT, text. A row per doc_id with windows that occur earlier: doc, runs of (start, n).
 
     A null doc_id is ordered before all others, as the least long.
     """
@@ -207,10 +201,10 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     segments = written(_segments(marked, window, anchor), "segments")
     discard(flags)
     release(spark)
-    first = segments.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("anchor").alias("anchor"), F.first("wins").alias("wins")).select("s1", "s2", "anchor", "at.doc", "at.start", "wins")
+    first = segments.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("wins").alias("wins")).select("s1", "s2", "at.doc", "at.start", "wins")
     first = written(first, "first")
     release(spark)
-    once = written(_with_words(first, texts, window), "distinct")
+    once = written(_with_words(first, texts, window, anchor), "distinct")
     release(spark)
     # an anchor of many distinct segments, as at the edges of a common passage, is dealt window by window
     crowded = once.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded"))
@@ -228,10 +222,11 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     # written, so that segments that are in very many documents can be split in the join
     fate = written(first.select("s1", "s2", F.col("doc").alias("d0"), F.col("start").alias("a0")).join(earlier, ["s1", "s2"]), "fate")
     release(spark)
-    steps = F.sequence(F.lit(0), F.col("wins") - 1)
-    goes = segments.select("s1", "s2", "doc", "start", "wins").join(fate, ["s1", "s2"]).where(~((F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0")) & ~F.array_contains("earlier", True)))
-    goes = goes.withColumn("starts", F.when((F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0")), F.filter(F.transform(steps, lambda j: F.when(F.element_at("earlier", j + 1), F.col("start") + j)), lambda x: x.isNotNull())).otherwise(F.transform(steps, lambda j: F.col("start") + j)))
-    out = written(goes.groupBy("doc").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    at_first = (F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0"))
+    met = segments.join(fate, ["s1", "s2"])
+    copies = met.where(~at_first).select("doc", "start", F.col("wins").alias("n"))
+    some = met.where(at_first & F.array_contains("earlier", True)).select("doc", "start", F.posexplode("earlier").alias("j", "gone")).where("gone").select("doc", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n"))
+    out = written(copies.unionByName(some).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
     for used in (segments, first, once, told, fate):
         discard(used)
     release(spark)
@@ -248,10 +243,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
     others. Texts in which nothing goes are left as they are. names has the names of the three new
     columns; columns of those names are replaced.
     """
-    starts = removed_windows(as_long(docs), window)
-    key, gone = spare(docs, "sd_doc"), spare(docs, "sd_starts")
-    starts = starts.select(F.col("doc").alias(key), F.col("starts").alias(gone))
-    joined = docs.join(starts, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
+    runs = removed_windows(as_long(docs), window)
+    key, gone = spare(docs, "sd_doc"), spare(docs, "sd_runs")
+    runs = runs.select(F.col("doc").alias(key), F.col("runs").alias(gone))
+    joined = docs.join(runs, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
 
     joined = joined.drop(key, *[c for c in docs.columns if c.lower() in names])
     fields = [f for f in joined.schema if f.name != gone]
@@ -264,10 +259,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
                 words = words_of(t or "")
                 if g.is_valid and len(g):
                     edge = np.zeros(len(words) + 1, np.int64)
-                    first = np.asarray(g.values, np.int64)
-                    first = first[first + window <= len(words)]  # another text of the same id may be longer
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + window, -1)
+                    start, n = (np.asarray(x, np.int64) for x in g.values.flatten())
+                    n = np.minimum(n, len(words) - window + 1 - start)  # another text of the same id may be longer
+                    start, n = start[n > 0], n[n > 0]
+                    np.add.at(edge, start, 1)
+                    np.add.at(edge, start + n + window - 1, -1)
                     left = np.flatnonzero(np.cumsum(edge[:-1]) == 0)
                     kept = b" ".join([words[i] for i in left.tolist()]).decode()
                     n_gone = len(words) - len(left)
@@ -279,7 +275,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
             yield pa.RecordBatch.from_arrays([*columns, pa.array(new[1], pa.int64()), pa.array(new[2], pa.int64()), pa.array(new[3], pa.string())], names=[*(f.name for f in fields), *names])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names[0]}` bigint, `{names[1]}` bigint, `{names[2]}` string"
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy(run), schema)
 
 
 OP2_SQL = r"""
