@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WHITE, WORD_GAP, spare, written
+from .common import WHITE, WORD_GAP, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -90,13 +90,14 @@ def certified_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALP
     values, rate = rule_values(), alpha / len(RULES)
     tests = [(rule, k, cutoff) for rule, cutoffs in RULES.items() for k, cutoff in enumerate(cutoffs)]
     per = features.where(~F.col("base_failed")).join(good, "doc_id").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *[F.count(F.when(values[rule] > cutoff, 1)).alias(f"x_{rule}_{k}") for rule, k, cutoff in tests])
-    each = per.select("stratum", "n", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(cutoff).alias("cutoff"), F.col(f"x_{rule}_{k}").alias("x")) for rule, k, cutoff in tests])))
-    strata = per.agg(F.count(F.lit(1)).alias("strata"))  # one row
+    # one row a stratum: the window that counts them is as small
+    per = per.withColumn("strata", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))))
+    each = per.select("stratum", "strata", "n", F.inline(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(k).alias("k"), F.lit(cutoff).alias("cutoff"), F.col(f"x_{rule}_{k}").alias("x")) for rule, k, cutoff in tests])))
     log_odds, n = F.lit(rate / (1 - rate)), F.col("n").cast("double")
     step = lambda a, k: F.struct((a["t"] + F.log((n - k) / (k + 1.0)) + F.log(log_odds)).alias("t"), (a["s"] + F.exp(a["t"])).alias("s"))
     start = F.struct((n * F.log(F.lit(1.0 - rate))).alias("t"), F.lit(0.0).alias("s"))
     tail = F.when(F.col("x") < n * rate, F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("x")), start, step, lambda a: a["s"])).otherwise(F.lit(1.0))
-    passed = each.join(F.broadcast(strata)).withColumn("ok", (tail <= delta / (len(RULES) * F.col("strata"))).cast("int"))
+    passed = each.withColumn("ok", (tail <= delta / (len(RULES) * F.col("strata"))).cast("int"))
     run = F.min("ok").over(Window.partitionBy("stratum", "rule").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     return passed.withColumn("run", run).where("run = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
