@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_number, whole_text
+from .common import doc_number, release, tidy, whole_text, written
 
 LENGTH, SPAN, DECAY = 4, 8, 0.6
 LETTERS = 32
@@ -39,7 +39,7 @@ LANDMARKS, POSITIVES, NEGATIVES, HARD, ROUNDS = 192, 2000, 8000, 2000, 3
 RATE, RIDGE = 0.05, 1.0
 PART, STEP = 24, 12
 THRESHOLD = 0.3
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Digits and signs that stand for letters.
 ALIKE = str.maketrans("0134578@$!", "oieastbasi")
 NO_UNIT = -4.0
@@ -75,44 +75,47 @@ def units(text: str) -> list[str]:
     return [*dict.fromkeys([p for t in text.split() for p in parts(letters(t))] + spelled(text))]
 
 
-def _symbol(c: str) -> int:
-    return ord(c) - 97 if "a" <= c <= "z" else 26 + ord(c) % 4
+def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of all words, each between its marks and with SPAN blanks (-1) behind; places of symbols; words' sizes with marks."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
+    code = np.where((code >= 97) & (code <= 122), code - 97, 26 + code % 4)
+    starts = np.cumsum(sizes + SPAN) - sizes - SPAN
+    flat = np.full(int((sizes + SPAN).sum()), -1, np.int32)
+    before = np.cumsum(sizes - 2) - (sizes - 2)
+    flat[np.repeat(starts + 1 - before, sizes - 2) + np.arange(len(code))] = code
+    flat[starts], flat[starts + sizes - 1] = 30, 31
+    return flat, np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())), sizes
+
+
+def _norms(sizes: np.ndarray) -> np.ndarray:
+    """Norms of words in subsequence space, which depend on their sizes alone (a subsequence that a word has twice counts as two)."""
+    return np.sqrt(np.maximum(((_WEIGHTS**2) * np.maximum(sizes[:, None] - _OFFSETS[:, -1], 0)).sum(1), 1e-9))
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Codes of all gapped subsequences of all words, their weights divided by the word's norm, and word numbers."""
     if not words:
         return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    raw = np.array([_symbol(c) for c in "".join(words)], np.int64) if not "".join(words).isascii() else np.frombuffer("".join(words).encode(), np.uint8).astype(np.int64) - 97
-    total = int((sizes + SPAN).sum())
-    flat = np.full(total, -1, np.int64)
-    starts = np.cumsum(sizes + SPAN) - sizes - SPAN
-    before = np.cumsum(sizes - 2) - (sizes - 2)
-    flat[np.repeat(starts + 1 - before, sizes - 2) + np.arange(len(raw))] = np.clip(raw, 0, 31)
-    flat[starts], flat[starts + sizes - 1] = 30, 31
-    at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    flat, at, sizes = _laid_out(words)
     owner = np.repeat(np.arange(len(words)), sizes)
     codes, weights, owners = [], [], []
     for offsets, weight in zip(_OFFSETS, _WEIGHTS):
-        last = flat[at + offsets[-1]]
-        ok = np.flatnonzero(last >= 0)
-        here = at[ok]
-        code = flat[here]
+        ok = np.flatnonzero(flat[at + offsets[-1]] >= 0)
+        code = flat[at[ok]].astype(np.int64)
         for o in offsets[1:]:
-            code = code << 5 | flat[here + o]
+            code = code << 5 | flat[at[ok] + o]
         codes.append(code)
         weights.append(np.full(len(ok), weight))
         owners.append(owner[ok])
     code, weight, own = (np.concatenate(x) for x in (codes, weights, owners))
-    norm = np.sqrt(np.bincount(own, weight * weight, len(words)))
-    return code, weight / np.maximum(norm[own], 1e-9), own
+    return code, weight / _norms(sizes)[own], own
 
 
 class Machine:
     """Kernel machine in subsequence space: a weight for each code, and a bias."""
 
-    def __init__(self, positive: list[str], clean: list[str], counts: np.ndarray):
+    def __init__(self, positive: list[str], clean: list[str]):
         """clean: units of clean sentences, in falling order of their counts."""
         self.table, self.bias = np.zeros(LETTERS**LENGTH, np.float32), -1.0
         if not positive or not clean:
@@ -133,9 +136,9 @@ class Machine:
 
         def nystroem(words: list[str]) -> np.ndarray:
             out = []
-            for i in range(0, len(words), 400):
-                code, weight, own = subsequences(words[i : i + 400])
-                dense = np.zeros((len(words[i : i + 400]), len(met)), np.float32)
+            for i in range(0, len(words), 100):
+                code, weight, own = subsequences(words[i : i + 100])
+                dense = np.zeros((len(words[i : i + 100]), len(met)), np.float32)
                 hit = place[code] >= 0
                 np.add.at(dense, (own[hit], place[code[hit]]), weight[hit])
                 out.append((dense @ land.T).astype(np.float64) @ root)
@@ -147,10 +150,9 @@ class Machine:
             w, self.bias = self._fit(x, y)
             self.table[:] = 0
             self.table[met] = (root @ w) @ land
-            pool = clean[: 20 * NEGATIVES]
-            margin = self.margins(pool)
+            margin = self.margins(clean)
             known = set(negative)
-            hard = [pool[i] for i in np.argsort(-margin)[:HARD] if margin[i] > -0.9 and pool[i] not in known]
+            hard = [clean[i] for i in np.argsort(-margin)[:HARD] if margin[i] > -0.9 and clean[i] not in known]
             if not hard:
                 break
             negative += hard
@@ -179,10 +181,22 @@ class Machine:
         return w[:-1], float(w[-1])
 
     def margins(self, words: list[str]) -> np.ndarray:
+        """What subsequences() and the table give, summed at each word's places without listing the subsequences."""
         out = []
-        for i in range(0, len(words), 20_000):
-            code, weight, own = subsequences(words[i : i + 20_000])
-            out.append(np.bincount(own, weight * self.table[code], len(words[i : i + 20_000])) + self.bias)
+        for i in range(0, len(words), 10_000):
+            part = words[i : i + 10_000]
+            flat, at, sizes = _laid_out(part)
+            symbol = [flat[at + o] for o in range(SPAN)]
+            there = [x >= 0 for x in symbol]
+            symbol = [np.maximum(x, 0) for x in symbol]
+            sums = np.zeros(len(at), np.float32)
+            for a in range(1, SPAN - 2):
+                two = symbol[0] << 5 | symbol[a]
+                for b in range(a + 1, SPAN - 1):
+                    three = (two << 5 | symbol[b]) << 5
+                    for c in range(b + 1, SPAN):
+                        sums += self.table[three | symbol[c]] * (there[c] * np.float32(DECAY ** (c - LENGTH + 1)))
+            out.append(np.bincount(np.repeat(np.arange(len(part)), sizes), sums, len(part)) / _norms(sizes) + self.bias)
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -194,7 +208,7 @@ class Scorer:
 
     def features(self, texts: list[str]) -> np.ndarray:
         tokens = [set(t.split()) for t in texts]
-        new = [*(set().union(*tokens) - self.known.keys())]
+        new = [*set().union(*tokens).difference(self.known)]
         split = [parts(letters(t)) for t in new]
         flat = [p for ps in split for p in ps]
         margins, at = self.machine.margins(flat).tolist(), 0
@@ -203,7 +217,8 @@ class Scorer:
             at += len(ps)
         out = np.empty((len(texts), 3))
         for i, (text, own) in enumerate(zip(texts, tokens)):
-            m = np.array([self.known[t] for t in own] + [NO_UNIT])
+            m = np.fromiter(map(self.known.__getitem__, own), float, len(own))
+            m = np.append(m, NO_UNIT)
             if extra := spelled(text):
                 m = np.concatenate([m, self.machine.margins(extra)])
             beyond = np.count_nonzero(m > 0)
@@ -260,22 +275,28 @@ class Detector:
                                 col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.string()))], names=["s", "toxic", "units"])
 
-        each = train.mapInArrow(sentences, "s bigint, toxic int, units array<string>").groupBy("s").agg(F.min("toxic").alias("toxic"), F.first("units").alias("units"))
-        stats = each.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).toArrow().to_pandas()  # bounded by the sample
+        each = train.mapInArrow(tidy(sentences), "s bigint, toxic int, units array<string>").groupBy("s").agg(F.min("toxic").alias("toxic"), F.first("units").alias("units"))
+        stats = written(each.select("toxic", F.explode("units").alias("unit")).groupBy("unit").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")), "units")
+        sums = stats.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
+        rate = min(0.9, max(1e-6, (sums["t"] or 0) / max(1, sums["n"] or 0)))
+        n_tests = stats.where("t >= 2").count()
+        # units of a single sentence serve as negative examples only: an eighth of them will do
+        stats = stats.where((F.col("n") >= 2) | (F.pmod(F.xxhash64("unit"), F.lit(8)) == 0)).toArrow().to_pandas()  # bounded by the sample
         stats = stats.sort_values(["n", "unit"], ascending=[False, True])
-        all_ = max(1, int(stats["n"].sum()))
-        rate = min(0.9, max(1e-6, float(stats["t"].sum()) / all_))
         test = stats[stats["t"] >= 2].copy()
         positive: list[str] = []
         if len(test):
             test["p"] = _log_tail(test["t"].to_numpy(float), test["n"].to_numpy(float), rate)
             test = test.sort_values(["p", "unit"])
-            passed = np.flatnonzero(test["p"].to_numpy() <= np.log(RATE * np.arange(1, len(test) + 1) / len(test)))
+            passed = np.flatnonzero(test["p"].to_numpy() <= np.log(RATE * np.arange(1, len(test) + 1) / n_tests))
             test = test.iloc[: passed.max() + 1 if len(passed) else 0]
             positive = test[test["t"] >= 0.7 * test["n"]]["unit"].head(POSITIVES).tolist()
         clean = stats[stats["n"] > stats["t"]]
         clean = clean[~clean["unit"].isin(positive)]
-        self.machine = Machine(positive, clean["unit"].tolist(), clean["n"].to_numpy())
+        clean = clean["unit"].head(20 * NEGATIVES).tolist()
+        del stats, test
+        self.machine = Machine(positive, clean)
+        release(train.sparkSession)
         self.positive = positive
         rows = self._features(train).toArrow().to_pandas()  # bounded by the sample
         train.unpersist()
@@ -292,7 +313,7 @@ class Detector:
                     x = s.features(batch.column(0).slice(at, 256).to_pylist())
                     yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, 256), pa.array(list(x), pa.list_(pa.float64()))], names=["toxic", "x"])
 
-        return train.select("text", "toxic").mapInArrow(run, "toxic int, x array<double>")
+        return train.select("text", "toxic").mapInArrow(tidy(run), "toxic int, x array<double>")
 
     def scores(self, docs: DataFrame, column: str = "score") -> DataFrame:
         """docs with each row's score as one more column."""
@@ -310,7 +331,7 @@ class Detector:
                     score = 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, column])
 
-        return docs.mapInArrow(run, schema)
+        return docs.mapInArrow(tidy(run), schema)
 
 
 def train_detector(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> Detector:
