@@ -27,6 +27,8 @@ from .hashing import as_long, bucket_count, mix, repeated_hashes, windows, word_
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Shingles in so many sets come last in the order; at most so many of them (8 bytes each) are broadcast, the most frequent. Any order is exact.
 FREQUENT, FREQUENT_MOST = 48, 1_000_000
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Turns in which each set meets one pivot, before blocks are compared.
 STARS = 3
 #: Pairs of one set that are verified by one task.
@@ -53,8 +55,15 @@ def set_maker(k: int):
     return make
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """BITS bits, of which each token sets one: two sets differ in at least as many tokens as their bitmaps do in bits."""
+    out = np.zeros(BITS, np.uint8)
+    out[(tokens.view(np.uint64) >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(out).view(np.int64)
+
+
 def _sets(texts: DataFrame, k: int) -> DataFrame:
-    """rep, sig, text -> rep, n, tokens, for texts whose set has the signature."""
+    """rep, sig, text -> rep, n, tokens, bits, for texts whose set has the signature."""
 
     def run(batches):
         make = set_maker(k)
@@ -62,9 +71,9 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = [(i, s) for i, sig, (s, own) in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), make(part.column(2).to_pylist())) if sig == own]
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64()))], names=["rep", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([len(s) for _, s in rows], pa.int64()), pa.array([s.view(np.int64) for _, s in rows], pa.list_(pa.int64())), pa.array([bitmap(s) for _, s in rows], pa.list_(pa.int64()))], names=["rep", "n", "tokens", "bits"])
 
-    return texts.select("rep", "sig", "text").mapInArrow(tidy(run), "rep bigint, n bigint, tokens array<bigint>")
+    return texts.select("rep", "sig", "text").mapInArrow(tidy(run), "rep bigint, n bigint, tokens array<bigint>, bits array<bigint>")
 
 
 def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -90,7 +99,7 @@ def _prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
                 out.append(s[np.lexsort((s, late))][: n - (num * n + den - 1) // den + 1])
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(ns, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["rep", "n", "prefix"])
 
-    lists = sets.mapInArrow(tidy(run), "rep bigint, n bigint, prefix array<bigint>")
+    lists = sets.select("rep", "n", "tokens").mapInArrow(tidy(run), "rep bigint, n bigint, prefix array<bigint>")
     return lists.select("rep", "n", F.posexplode("prefix").alias("pos", "token"))
 
 
@@ -162,9 +171,14 @@ def _rep_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     placed = written(placed.join(far, "rep", "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "placed")
     reach = blocks.join(far, "rep").groupBy("root").agg(F.max("far").alias("radius"))
     # blocks that meet in a list where their ranges of sizes and positions leave a chance
-    ranges = placed.groupBy("token", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    ranges = placed.groupBy("token", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
+    # blocks of one set in the list carry its bitmap, for a bound on what two sets can have in common
+    ranges = ranges.join(sets.select("rep", "bits"), "rep", "left").withColumn("bits", F.when(F.col("c") == 1, F.col("bits"))).drop("rep", "c")
     x, y = ranges.alias("x"), ranges.alias("y")
-    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (den * F.col("x.n1") >= num * F.col("y.n0")) & (den * F.col("y.n1") >= num * F.col("x.n0")) & ((num + den) * F.least("x.rest", "y.rest") >= num * (F.col("x.n0") + F.col("y.n0"))))
+    apart = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+    total = F.col("x.n0") + F.col("y.n0")
+    may = F.col("x.bits").isNull() | F.col("y.bits").isNull() | ((num + den) * (total - apart) >= 2 * num * total)
+    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (den * F.col("x.n1") >= num * F.col("y.n0")) & (den * F.col("y.n1") >= num * F.col("x.n0")) & ((num + den) * F.least("x.rest", "y.rest") >= num * (F.col("x.n0") + F.col("y.n0"))) & may)
     meet = written(meet.select("x.token", F.col("x.root").alias("a"), F.col("y.root").alias("b")), "meet")
     near = _verified(meet.select("a", "b").distinct(), sets, "roots")
     ra, rb = reach.select(F.col("root").alias("a"), F.col("radius").alias("ra")), reach.select(F.col("root").alias("b"), F.col("radius").alias("rb"))
