@@ -6,9 +6,8 @@ import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import tidy, whole_text
 
 SLICE = 256
 
@@ -41,4 +40,4 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFra
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(run), schema)

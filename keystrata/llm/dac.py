@@ -21,15 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, whole_text, written
+from .common import shared_path, tidy, whole_text, written
 
 MAGIC = b"DACT0001"
 BLOCK = 512
-SLICE = 512
+#: Documents whose new stretches are encoded together.
+SLICE = 2048
 
 
 def pack_tokens(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """doc_ids: int64 with the null flags in `lengths`' sign-free companion; ids: uint32 of all documents, one after another."""
+    """ids: uint32 of all documents, one after another; lengths: how many each has."""
     levels, left = [], ids.astype(np.uint32)
     while True:
         more = left > 255
@@ -147,14 +148,14 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
     names = ["part", "seq", "path", "n_docs", "n_tokens"]
     kinds = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ordered = docs.select("doc_id", whole_text().alias("text")).withColumn("t", F.xxhash64("text")).repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"), "token-files")
+    return written(ordered.mapInArrow(tidy(run), "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"), "token-files")
 
 
 def read_tokens(listing: DataFrame, folder: str, keep_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, with keep_ids, ids."""
     # one row per file, of about file_tokens ids each: a window over the list of files, not over documents
     first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = listing.withColumn("start", first).select("path", "start").repartition(F.col("path"))
+    files = listing.withColumn("start", first).select("path", "start").repartition(max(1, listing.count()), "path")
 
     def run(batches):
         store, base = _store(folder)
@@ -171,7 +172,7 @@ def read_tokens(listing: DataFrame, folder: str, keep_ids: bool = False) -> Data
                     cols.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return files.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
+    return files.mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)
 
 
 def token_files(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, folder: str | None = None, keep_ids: bool = False) -> DataFrame:

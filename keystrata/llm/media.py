@@ -13,9 +13,8 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import whole_text, written
+from .common import tidy, whole_text, written
 
 WIDTH = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -149,7 +148,7 @@ def text_to_media(docs: DataFrame, level: int = 1, filter_kind: int = 0) -> Data
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, SLICE), pa.array([n for _, n in made], pa.int64()), pa.array([encode_png(p, filter_kind, level) for p, _ in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, media binary")
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(run), f"doc_id {kind}, n_bytes bigint, media binary")
 
 
 def media_features(media: DataFrame) -> DataFrame:
@@ -168,7 +167,7 @@ def media_features(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, SLICE), batch.column(1).slice(at, SLICE), *cols], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
 
 
 def stored_media(docs: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, whole_text, written
+from .common import tidy, whole_text, written
 
-SLICE = 512
+#: Documents whose new stretches are encoded together.
+SLICE = 2048
 #: A plan of at most this many rows is broadcast (40 bytes each); a longer one is joined by shuffling.
 PLAN_ROWS = 200_000
 
@@ -80,7 +81,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * keep_ids
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(run), schema)
 
 
 def place(pieces: DataFrame, capacity: int = 1024, group: int = 100_000) -> DataFrame:

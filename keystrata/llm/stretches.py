@@ -10,7 +10,7 @@ CUT = re.compile(r"(?=[ \n]\S)")
 ODD = re.compile(r"[ \n]\s|\x00")
 EXACT = "\x00"
 #: Stretches that a worker remembers for good: the first ones that it meets, among which are the frequent ones.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 
 
 def byte_keys(text: str) -> list[str]:
@@ -27,13 +27,15 @@ def byte_stretch(key: str) -> str:
 
 
 def word_keys(text: str) -> list[str]:
-    """Where white space is dropped, any of it is a border."""
+    """For vocabularies of lower-case words without white space: any white space is a border, and plain ASCII is lower-cased at once (but for what may be an added token)."""
+    if text.isascii() and "<|" not in text:
+        text = text.lower()
     return text.replace("\n", " ").split(" ")
 
 
 def remembering(held: list[list[str]], known: dict[str, bytes], encode_new) -> list[bytes]:
     """The ids of each list of keys, joined. encode_new: from a list of keys to a dictionary of their ids."""
-    new = set().union(*held) - known.keys()
+    new = set().union(*held).difference(known)
     coded = encode_new(list(new)) if new else {}
     room = max(0, REMEMBERED - len(known))
     known.update(coded)

@@ -27,6 +27,8 @@ from .hashing import REST, as_long, bucket_count, repeated_hashes, span_names, w
 WINDOW, ANCHOR = 20, 8
 #: Segments (of some 26 words) in a shard on average, and distinct segments of one anchor beyond which its windows are dealt singly.
 SHARD, CROWDED = 3000, 1000
+#: Crowded anchors are broadcast if they are no more than this (9 bytes each).
+BROADCAST_ROWS = 100_000
 
 
 class SuffixAutomaton:
@@ -207,8 +209,8 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     once = written(_with_words(first, texts, window, anchor), "distinct")
     release(spark)
     # an anchor of many distinct segments, as at the edges of a common passage, is dealt window by window
-    crowded = once.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded"))
-    dealt = once.join(crowded, "anchor", "left")
+    crowded = written(once.groupBy("anchor").count().where(F.col("count") > CROWDED).select("anchor", F.lit(True).alias("crowded")), "crowded")
+    dealt = once.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_ROWS else crowded, "anchor", "left")
     shards = max(1, -(-once.count() // SHARD))
     whole = dealt.where("crowded IS NULL").withColumn("j", F.lit(0)).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     split = F.split("words", " ")
