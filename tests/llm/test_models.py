@@ -91,6 +91,15 @@ def test_lm_base(messy, nothing, monkeypatch, direct):
         assert lm.score_documents(nothing).count() == 0
 
 
+def test_words_are_averaged_after_burn_in(messy, monkeypatch):
+    sweeps, seat = [], lm._seat_words
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    monkeypatch.setattr(lm, "_seat_words", lambda rare, speller, tables, sweep: sweeps.append(speller) or seat(rare, speller, tables, sweep))
+    model = lm.Model(messy.select("doc_id", "text"))
+    assert 0 < len(model.spellers) < len(sweeps) and model.spellers == sweeps[-len(model.spellers) :] and len(model.new) == len(model.spellers)
+    assert lm.KEPT >= 10_000
+
+
 def test_lm_beats_the_base_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score_documents(docs).where("held_out").toPandas()
