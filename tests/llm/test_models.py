@@ -100,6 +100,22 @@ def test_words_are_averaged_after_burn_in(messy, monkeypatch):
     assert lm.KEPT >= 10_000
 
 
+def test_pairs_of_rare_words_count(spark, monkeypatch):
+    """x1 is always followed by y1, x2 by y2, and so on, all words being of one class: only pairs of words can tell."""
+    monkeypatch.setattr(lm, "FREQUENT", 2)
+    rng = random.Random(4)
+    name = lambda kind, i: f"{kind}{chr(97 + i // 26)}{chr(97 + i % 26)}zz"
+    rows = [(i, " ".join(f"{name('x', j)} {name('y', j)} the" for j in rng.choices(range(100), k=30))) for i in range(200)]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 5 == 1][:2]
+    rows += [(held[0], " ".join(f"{name('x', j)} {name('y', j)} the" for j in range(100))), (held[1], " ".join(f"{name('x', j)} {name('y', (j + 37) % 100)} the" for j in range(100)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for direct, direct_pairs in ((200_000, 1_000_000), (20, 5)):
+        monkeypatch.setattr(lm, "DIRECT", direct)
+        monkeypatch.setattr(lm, "DIRECT_PAIRS", direct_pairs)
+        got = {r["doc_id"]: r["score"] for r in lm.score_documents(docs).collect()}
+        assert got[held[0]] > got[held[1]] + 100
+
+
 def test_lm_beats_the_base_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = lm.score_documents(docs).where("held_out").toPandas()
