@@ -1,7 +1,8 @@
 """Media columns: texts as grey PNG images in a binary column, and perceptual hashes of what is read back.
 
 The encoder and decoder are written against the PNG specification: zlib-compressed scan lines in
-chunks with CRC-32 checks, the five scan-line filters undone with numpy.
+chunks with CRC-32 checks. Each scan line gets the filter of the least absolute sum; the filters of many images
+are undone together with numpy, a diagonal at a time.
 """
 
 from __future__ import annotations
@@ -53,10 +54,16 @@ def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.where((pa_ <= pb) & (pa_ <= pc), a, np.where(pb <= pc, b, c)).astype(np.uint8)
 
 
-def encode_png(payload: bytes, filter_kind: int = 0, level: int = 1) -> bytes:
+def encode_png(payload: bytes, filter_kind: int | None = None, level: int = 1) -> bytes:
+    """filter_kind: the filter of all scan lines; None gives each line the one whose samples, taken as signed, have the least absolute sum."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     lines = np.empty((len(rows), WIDTH + 1), np.uint8)
-    lines[:, 0], lines[:, 1:] = filter_kind, filtered(rows, filter_kind)
+    if filter_kind is None:
+        all_ = np.stack([filtered(rows, kind) for kind in range(5)])
+        lines[:, 0] = np.minimum(all_, -all_).sum(2, dtype=np.int64).argmin(0)
+        lines[:, 1:] = all_[lines[:, 0], np.arange(len(rows))]
+    else:
+        lines[:, 0], lines[:, 1:] = filter_kind, filtered(rows, filter_kind)
     packed = zlib.compress(lines.tobytes(), level)
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + b"".join(_chunk(b"IDAT", packed[i : i + CHUNK]) for i in range(0, len(packed), CHUNK)) + _chunk(b"IEND", b"")
@@ -64,6 +71,11 @@ def encode_png(payload: bytes, filter_kind: int = 0, level: int = 1) -> bytes:
 
 def decode_png(media: bytes) -> np.ndarray:
     """8-bit grey samples by row; ValueError if a signature, checksum or size is wrong."""
+    return unfiltered(scan_lines(media))
+
+
+def scan_lines(media: bytes) -> np.ndarray:
+    """Filtered scan lines, each after the number of its filter; ValueError as in decode_png()."""
     if media[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, width, height, data = 8, 0, 0, []
@@ -88,33 +100,41 @@ def decode_png(media: bytes) -> np.ndarray:
     lines = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
     if lines.size != height * (width + 1):
         raise ValueError("size differs from the header")
-    return unfiltered(lines.reshape(height, width + 1))
+    return lines.reshape(height, width + 1)
 
 
 def unfiltered(lines: np.ndarray) -> np.ndarray:
-    kinds, rows = lines[:, 0], lines[:, 1:].copy()
-    if not kinds.any():
-        return rows
-    zero = np.zeros(rows.shape[1], np.uint8)
-    for y in np.flatnonzero(kinds):
-        up, row = rows[y - 1] if y else zero, rows[y]
-        if kinds[y] == 1:
-            rows[y] = np.cumsum(row, dtype=np.uint64).astype(np.uint8)
-        elif kinds[y] == 2:
-            rows[y] = row + up
-        elif kinds[y] in (3, 4):
-            a = c = 0
-            for x, (v, b) in enumerate(zip(row.tolist(), up.tolist())):
-                if kinds[y] == 3:
-                    a = (v + (a + b >> 1)) & 255
-                else:
-                    p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    a = (v + (a if p <= q and p <= r else b if q <= r else c)) & 255
-                    c = b
-                row[x] = a
-        else:
-            raise ValueError("unknown filter")
-    return rows
+    return unfiltered_all([lines])[0]
+
+
+def unfiltered_all(images: list[np.ndarray]) -> list[np.ndarray]:
+    """Samples of many images: what lies on the same diagonal of any of them depends only on the two diagonals before."""
+    if len({x.shape[1] for x in images}) > 1:
+        return [unfiltered(x) for x in images]
+    heights = [len(x) for x in images]
+    lines = np.concatenate(images)
+    kinds, n, width = lines[:, 0], len(lines), lines.shape[1] - 1
+    if (kinds > 4).any():
+        raise ValueError("unknown filter")
+    y = np.concatenate([np.arange(h) for h in heights])
+    rows = np.zeros((n + 1, width + 1), np.uint8)  # nought to the left, and a line of it above
+    if kinds.any():
+        order = np.argsort(y, kind="stable")
+        depth, up = y[order], np.where(y[order] > 0, order - 1, n)
+        ends = np.searchsorted(depth, np.arange(width + max(heights)), "right")
+        flat, raw = rows.reshape(-1), lines.reshape(-1)
+        at, above, kind = order * (width + 1), up * (width + 1), kinds[order]
+        for s in range(width + max(heights) - 1):
+            part = slice(ends[s - width] if s >= width else 0, ends[s])
+            x = s - depth[part]
+            here, over, k = at[part] + x, above[part] + x, kind[part]
+            a, b, c = (v.astype(np.int16) for v in (flat[here], flat[over + 1], flat[over]))
+            p, q, r = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+            guess = np.choose(k, (np.int16(0), a, b, a + b >> 1, np.where((p <= q) & (p <= r), a, np.where(q <= r, b, c))))
+            flat[here + 1] = raw[here + 1] + guess.astype(np.uint8)
+    else:
+        rows[:n, 1:] = lines[:, 1:]
+    return np.split(rows[:n, 1:], np.cumsum(heights)[:-1])
 
 
 _N, _LOW = 32, 8
@@ -134,7 +154,7 @@ def cosine_hash(pixels: np.ndarray) -> str:
     return np.packbits(coef > np.median(coef[1:])).tobytes().hex()
 
 
-def text_to_media(docs: DataFrame, level: int = 1, filter_kind: int = 0) -> DataFrame:
+def text_to_media(docs: DataFrame, level: int = 1, filter_kind: int | None = None) -> DataFrame:
     """doc_id, n_bytes, media: each text's payload as a PNG in a binary column.
 
     The payload is the UTF-8 text (null: empty) filled with blanks to a positive multiple of 192.
@@ -158,7 +178,7 @@ def media_features(media: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 stored = batch.column(2).slice(at, SLICE).to_pylist()
-                rows = [decode_png(m) for m in stored]
+                rows = unfiltered_all([scan_lines(m) for m in stored])
                 loads = [r.tobytes() for r in rows]
                 cols = [
                     pa.array([len(p) for p in loads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in loads]), pa.array([zlib.crc32(p[-16:]) for p in loads], pa.int64()),

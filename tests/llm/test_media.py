@@ -57,6 +57,16 @@ def test_hash_keeps_low_frequencies():
     assert bits(h, media.cosine_hash(noisy)) <= 10 < bits(h, media.cosine_hash(other))
 
 
+def test_stored_lines_are_filtered(messy):
+    rows = media.text_to_media(messy).collect()
+    lines = [media.scan_lines(r["media"]) for r in rows]
+    assert len(set(np.concatenate([x[:, 0] for x in lines]).tolist())) >= 3
+    for got, x, r in zip(media.unfiltered_all(lines), lines, rows):
+        assert (got == media.unfiltered(x)).all() and got.tobytes() == media.decode_png(r["media"]).tobytes()
+        least = [np.abs(media.filtered(got, kind).view(np.int8).astype(int)).sum(1) for kind in range(5)]
+        assert (np.min(least, 0) == np.abs(x[:, 1:].view(np.int8).astype(int)).sum(1)).all()
+
+
 def test_rows(messy, nothing):
     got = media.media_features(media.stored_media(messy)).collect()
     expected = []
