@@ -21,6 +21,7 @@ import itertools
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -115,13 +116,12 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Machine:
     """Kernel machine in subsequence space: a weight for each code, and a bias."""
 
-    def __init__(self, positive: list[str], clean: list[str]):
-        """clean: units of clean sentences, in falling order of their counts."""
+    def __init__(self, positive: list[str], common: list[str], by_hash: list[str], hardest: Callable[["Machine", int], list[tuple[str, float]]]):
+        """common, by_hash: clean units to start from; hardest gives those of all clean units with the greatest margins."""
         self.table, self.bias = np.zeros(LETTERS**LENGTH, np.float32), -1.0
-        if not positive or not clean:
+        if not positive or not common:
             return
-        by_hash = sorted(clean, key=lambda w: xxhash.xxh64_intdigest(w))
-        negative = [*dict.fromkeys(clean[: NEGATIVES // 2] + by_hash[: NEGATIVES // 2])]
+        negative = [*dict.fromkeys(common + by_hash)]
         half = LANDMARKS // 2
         marks = [*dict.fromkeys(positive[:half] + by_hash[:half])]
         code, weight, own = subsequences(marks)
@@ -150,9 +150,8 @@ class Machine:
             w, self.bias = self._fit(x, y)
             self.table[:] = 0
             self.table[met] = (root @ w) @ land
-            margin = self.margins(clean)
             known = set(negative)
-            hard = [clean[i] for i in np.argsort(-margin)[:HARD] if margin[i] > -0.9 and clean[i] not in known]
+            hard = [word for word, margin in hardest(self, HARD) if margin > -0.9 and word not in known]
             if not hard:
                 break
             negative += hard
@@ -259,6 +258,20 @@ def sample_labels(labels: DataFrame, folds: int, held: int) -> DataFrame:
     return own.where((F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)) < cut)
 
 
+def _hardest(clean: DataFrame, machine: Machine, most: int) -> list[tuple[str, float]]:
+    """Of all clean units the `most` with the greatest margins, each with it, in that order."""
+    shared = clean.sparkSession.sparkContext.broadcast(machine)
+
+    def run(batches):
+        for batch in batches:
+            margin = shared.value.margins(batch.column(0).to_pylist())
+            top = np.argsort(-margin, kind="stable")[:most]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(top)), pa.array(margin[top].astype(np.float64))], names=["unit", "margin"])
+
+    rows = clean.select("unit").mapInArrow(tidy(run), "unit string, margin double").orderBy(F.col("margin").desc(), "unit").limit(most).toArrow()
+    return list(zip(rows["unit"].to_pylist(), rows["margin"].to_pylist()))
+
+
 class Detector:
     """Trained on labelled documents: doc_id, text, toxic."""
 
@@ -280,10 +293,7 @@ class Detector:
         sums = stats.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
         rate = min(0.9, max(1e-6, (sums["t"] or 0) / max(1, sums["n"] or 0)))
         n_tests = stats.where("t >= 2").count()
-        # units of a single sentence serve as negative examples only: an eighth of them will do
-        stats = stats.where((F.col("n") >= 2) | (F.pmod(F.xxhash64("unit"), F.lit(8)) == 0)).toArrow().to_pandas()  # bounded by the sample
-        stats = stats.sort_values(["n", "unit"], ascending=[False, True])
-        test = stats[stats["t"] >= 2].copy()
+        test = stats.where("t >= 2").toArrow().to_pandas()  # bounded by the sample
         positive: list[str] = []
         if len(test):
             test["p"] = _log_tail(test["t"].to_numpy(float), test["n"].to_numpy(float), rate)
@@ -291,11 +301,11 @@ class Detector:
             passed = np.flatnonzero(test["p"].to_numpy() <= np.log(RATE * np.arange(1, len(test) + 1) / n_tests))
             test = test.iloc[: passed.max() + 1 if len(passed) else 0]
             positive = test[test["t"] >= 0.7 * test["n"]]["unit"].head(POSITIVES).tolist()
-        clean = stats[stats["n"] > stats["t"]]
-        clean = clean[~clean["unit"].isin(positive)]
-        clean = clean["unit"].head(20 * NEGATIVES).tolist()
-        del stats, test
-        self.machine = Machine(positive, clean)
+        del test
+        spark = train.sparkSession
+        clean = stats.where("n > t").join(F.broadcast(spark.createDataFrame([(w,) for w in positive], "unit string")), "unit", "left_anti")
+        first = lambda *order: clean.orderBy(*order, "unit").select("unit").limit(NEGATIVES // 2).toArrow()["unit"].to_pylist()
+        self.machine = Machine(positive, first(F.col("n").desc()), first(F.xxhash64("unit")), lambda machine, most: _hardest(clean, machine, most))
         release(train.sparkSession)
         self.positive = positive
         rows = self._features(train).toArrow().to_pandas()  # bounded by the sample

@@ -162,6 +162,29 @@ def test_planted_gaps_are_found(spark):
     assert [got[i]["predicted"] for i in range(1000, 1006)] == [1, 1, 1, 1, 0, 0]
 
 
+def test_all_clean_units_are_mined(messy, labels, monkeypatch):
+    found, init = [], toxicity.Machine.__init__
+
+    def spied(self, positive, common, by_hash, hardest):
+        init(self, positive, common, by_hash, hardest)
+        found.append((set(positive), [w for w, _ in hardest(self, 1_000_000)]))
+
+    monkeypatch.setattr(toxicity.Machine, "__init__", spied)
+    toxicity.train_detector(messy, labels)
+    kind = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            kind[r["doc_id"]] = max(r["toxic"], kind.get(r["doc_id"], 0))
+    sentences = {}
+    for r in messy.collect():
+        if r["doc_id"] in kind:
+            for x in toxicity.SENTENCE.split(r["text"] or ""):
+                own = tuple(toxicity.units(x))
+                sentences[own] = min(kind[r["doc_id"]], sentences.get(own, 1))
+    (positive, mined), = found
+    assert len(mined) == len(set(mined)) and set(mined) == {w for own, toxic in sentences.items() if not toxic for w in own} - positive
+
+
 def test_toxicity_messy(spark, messy, nothing, labels):
     got = toxicity.score_toxicity(messy, labels).collect()
     assert len(got) == messy.count() and all(0 <= r["score"] <= 1 for r in got)
