@@ -10,8 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From spark.checkpoint.dir; a temporary one only where that is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """From spark.checkpoint.dir; where that is unset, a temporary one, which only a session of one machine may have."""
+    conf = spark.sparkContext.getConf()
+    if found := conf.get("spark.checkpoint.dir"):
+        return found
+    if not conf.get("spark.master", "").startswith("local") or conf.get("spark.master").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -43,6 +48,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme, which on the driver may be left to the default file system."""
+    fs, at = _fs(spark, path)
+    out = fs.makeQualified(at).toString()
+    return out.replace("file:/", "file:///", 1) if out.startswith("file:/") and not out.startswith("file:///") else out
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     fs, at = _fs(spark, path)
     return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
