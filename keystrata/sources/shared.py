@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,7 +72,11 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def commit_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Write under a temporary name, then rename; False if path is there already."""
+    """Write under a temporary name, then give it the final one in a step that never replaces a file; False if path is there already.
+
+    On a local disk that step is a hard link, elsewhere a rename that refuses an existing target, which must be atomic
+    in the file system (as in HDFS).
+    """
     fs, at = _fs(spark, path)
     _, tmp = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
     stream = fs.create(tmp, False)
@@ -78,7 +84,33 @@ def commit_text(spark: SparkSession, path: str, text: str) -> bool:
         stream.write(bytearray(text.encode()))
     finally:
         stream.close()
-    if not fs.exists(at) and fs.rename(tmp, at):
-        return True
+    done = _linked(tmp, at) if fs.getScheme() == "file" else _renamed(spark, tmp, at)
     fs.delete(tmp, False)
-    return False
+    return done
+
+
+def _linked(tmp, at) -> bool:
+    try:
+        os.link(tmp.toUri().getPath(), at.toUri().getPath())
+    except FileExistsError:
+        return False
+    return True
+
+
+def _renamed(spark: SparkSession, tmp, at) -> bool:
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, at, options)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
+            return False
+        raise
+    return True
+
+
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was last changed."""
+    fs, at = _fs(spark, path)
+    return time.time() - fs.getFileStatus(at).getModificationTime() / 1000

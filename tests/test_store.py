@@ -73,6 +73,140 @@ def test_second_writer_is_refused(spark, tmp_path):
         b.put(puts(spark, [(b"k", 1, b"b")]))
 
 
+def test_refused_writers_harm_nothing(spark, tmp_path):
+    a, b, c = (Store(spark, str(tmp_path / "s")) for _ in range(3))
+    a.put(puts(spark, [(b"k", 1, b"first")]))
+    for late in (b, c):
+        with pytest.raises(RuntimeError):
+            late.put(puts(spark, [(b"z", 1, b"second")]))
+        assert contents(late) == contents(Store(spark, a.path)) == {b"k": (1, b"first")}
+    assert len(list((tmp_path / "s/segments").iterdir())) == 1
+    b.put(puts(spark, [(b"z", 2, b"again")]))  # restored by its refusal
+    with pytest.raises(RuntimeError):
+        a.flush()
+    c.restore()
+    c.flush()
+    assert contents(Store(spark, a.path)) == {b"k": (1, b"first"), b"z": (2, b"again")}
+    assert len(list((tmp_path / "s/tables").iterdir())) == 1
+
+
+def test_crash_between_write_and_commit(spark, tmp_path, monkeypatch):
+    from keystrata import store as module
+
+    store = Store(spark, str(tmp_path / "s"))
+    store.put(puts(spark, [(b"k", 1, b"a")]))
+    with monkeypatch.context() as m:
+        m.setattr(module, "commit_text", lambda *x: (_ for _ in ()).throw(OSError("lost")))
+        for change in (store.flush, lambda: store.put(puts(spark, [(b"k", 9, b"never")]))):
+            with pytest.raises(OSError):
+                change()
+    assert contents(Store(spark, store.path)) == contents(store) == {b"k": (1, b"a")}
+    store.flush()
+    assert contents(Store(spark, store.path)) == {b"k": (1, b"a")}
+
+
+def test_commit_never_replaces(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from keystrata.sources.shared import commit_text, read_text
+
+    path = str(tmp_path / "m/1.json")
+    (tmp_path / "m").mkdir()
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: commit_text(spark, path, str(i)), range(8)))
+    assert won.count(True) == 1 and read_text(spark, path) == str(won.index(True))
+    assert len(list((tmp_path / "m").glob("*.json"))) == 1 and not list((tmp_path / "m").glob("*.tmp"))
+
+
+def test_history_never_depends_on_flushes(spark, tmp_path):
+    rows = [(bytes([i % 3]), t, bytes([t, i % 2])) for i, t in enumerate([5, 1, 9, 2, 9, 3, 8, 5] * 2)]
+    expected = {}
+    for k, t, v in rows:
+        expected.setdefault(k, set()).add(t.to_bytes(8, "big") + v)
+    expected = {k: sorted(x) for k, x in expected.items()}
+    shown = lambda s: {bytes(r["k"]): [bytes(x) for x in r["versions"]] for r in s.versions().collect()}
+    store = Store(spark, str(tmp_path / "s"), Limits(base_tables=2, level_tables=2, table_bytes=150), history=True)
+    for i in range(0, len(rows), 3):
+        store.put(puts(spark, rows[i : i + 3]))
+        if i % 6 == 0:
+            store.flush()
+    assert shown(store) == expected
+    store.flush()
+    assert shown(store) == expected
+    store.compact()
+    assert shown(Store(spark, store.path, store.limits, history=True)) == expected
+    assert contents(store) == {k: (int.from_bytes(x[-1][:8], "big"), x[-1][8:]) for k, x in expected.items()}
+    with pytest.raises(ValueError):
+        Store(spark, store.path)
+
+
+def test_flush_is_split_by_size_and_reads_are_pruned(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Limits(base_tables=99, table_bytes=4000))
+    rows = [(i.to_bytes(2, "big"), i, b"x" * 30) for i in range(1000)]
+    store.put(puts(spark, rows))
+    store.flush()
+    tables = store.levels.live()
+    assert len(tables) >= 11 and max(t.n_bytes for t in tables) < 3 * 4000
+    assert [t.begin for t in tables] == sorted(t.begin for t in tables)
+    assert all(a.end < b.begin for a, b in zip(tables, tables[1:]))
+    assert contents(store) == {k: (t, v) for k, t, v in rows}
+    files = lambda df: len(df.inputFiles())
+    assert files(store.get(rows[500][0])) == 1
+    assert files(store.multi_get(puts(spark, rows[500:502]))) <= 2
+    scanned = store.scan(rows[100][0], rows[140][0])
+    assert files(scanned) < 5 and [bytes(r["k"]) for r in scanned.collect()] == [k for k, _, _ in rows[100:141]]
+    assert store.multi_get(puts(spark, [])).count() == 0
+
+
+def test_tables_have_bloom_filters_of_their_size(spark, tmp_path):
+    sizes = []
+    for n in (100, 10_000):
+        store = Store(spark, str(tmp_path / f"s{n}"))
+        # random keys: runs of like ones would be stored in a dictionary, which makes a filter needless
+        from keystrata.sources.generate import random_puts
+
+        store.put(random_puts(spark, n, seed=3))
+        store.flush()
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{store.path}/{store.levels.live()[0].path}")
+        parquet = jvm.org.apache.parquet.hadoop
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, spark.sparkContext._jsc.hadoopConfiguration()))
+        sizes.append(reader.getFooter().getBlocks().get(0).getColumns().get(0).getBloomFilterLength())
+        reader.close()
+    assert 0 < sizes[0] < sizes[1]
+
+
+def test_vacuum_keeps_what_readers_may_use(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    for i in range(3):
+        store.put(puts(spark, [(b"k", i, b"a")]))
+        store.flush()
+    old = store.latest()
+    store.compact()
+    store.vacuum(keep=2)
+    assert old.count() == 1
+    store.vacuum(grace=3600)
+    assert old.count() == 1
+    store.vacuum()
+    assert contents(Store(spark, store.path)) == {b"k": (2, b"a")}
+    assert len(list((tmp_path / "s/tables").iterdir())) == 1 and not list((tmp_path / "s/segments").iterdir())
+
+
+def test_logs_are_replayed_into_a_store(spark, tmp_path):
+    from keystrata.sources.log import frame, register
+    from keystrata.store import recover
+
+    register(spark)
+    for name, keys in (("a", b"xy"), ("b", b"yz")):
+        (tmp_path / f"{name}.log").write_bytes(b"".join(frame(bytes([k]), (5).to_bytes(8, "big") + name.encode()) for k in keys) + frame(b"q", b"torn")[:-2])
+    logs = [spark.read.format("kvlog").load(str(tmp_path / f"{n}.log")).select("k", "rec") for n in "ab"]
+    assert recover(logs).count() == 4
+    store = Store(spark, str(tmp_path / "s"))
+    store.replay(recover(logs))
+    store.flush()
+    assert contents(Store(spark, store.path)) == {b"x": (5, b"a"), b"y": (5, b"b"), b"z": (5, b"b")}
+
+
 def test_what_no_manifest_lists_is_not_read(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     store.put(puts(spark, [(b"k", 1, b"a")]))
