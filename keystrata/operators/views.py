@@ -74,17 +74,26 @@ def probe(keys: DataFrame, table: DataFrame) -> DataFrame:
     return keys.join(table.select("k"), "k", "left_semi")
 
 
+def spare(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base = f"_{base}"
+    return base
+
+
 def ordinal(df: DataFrame, *order: str, name: str = "n") -> DataFrame:
     """df with its row number from 1 in the given order, ranked by many tasks.
 
     Rows are range-partitioned and written, so that the partition of a row is settled; a row's
     number is its rank in its partition plus the rows of the partitions before.
     """
-    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ordinal")
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.select("_part", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_in", inner).join(before, "_part").withColumn(name, (F.col("_in") + F.col("_before")).cast("long")).drop("_part", "_in", "_before")
+    part, inside, before = (spare(df, n) for n in ("part", "inside", "before"))
+    ranged = written(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "ordinal")
+    sizes = ranged.groupBy(part).count()  # a row for each partition
+    starts = sizes.select(part, F.coalesce(F.sum("count").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inner = F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    return ranged.withColumn(inside, inner).join(starts, part).withColumn(name, (F.col(inside) + F.col(before)).cast("long")).drop(part, inside, before)
 
 
 def floor_lookup(probes: DataFrame, index: DataFrame) -> DataFrame:
@@ -94,10 +103,11 @@ def floor_lookup(probes: DataFrame, index: DataFrame) -> DataFrame:
     index key on, and the greatest of the partitions before fills in for its first rows.
     """
     cols = [c for c in probes.columns if c != "k"]
-    both = probes.withColumn("_i", F.lit(1)).unionByName(index.select("k").distinct().withColumn("_i", F.lit(0)), allowMissingColumns=True)
-    ranged = written(both.repartitionByRange("k").withColumn("_part", F.spark_partition_id()), "floor")
-    own = F.when(F.col("_i") == 0, F.col("k"))
-    tops = ranged.groupBy("_part").agg(F.max(own).alias("_top"))
-    before = tops.select("_part", F.max("_top").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    here = F.last(own, ignorenulls=True).over(Window.partitionBy("_part").orderBy("k", "_i").rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.withColumn("_here", here).where("_i = 1").join(before, "_part").select("k", *cols, F.coalesce("_here", "_before").alias("floor"))
+    kind, part, top, before, here = (spare(probes, n) for n in ("kind", "part", "top", "before", "here"))
+    both = probes.withColumn(kind, F.lit(1)).unionByName(index.select("k").distinct().withColumn(kind, F.lit(0)), allowMissingColumns=True)
+    ranged = written(both.repartitionByRange("k").withColumn(part, F.spark_partition_id()), "floor")
+    own = F.when(F.col(kind) == 0, F.col("k"))
+    tops = ranged.groupBy(part).agg(F.max(own).alias(top))  # a row for each partition
+    starts = tops.select(part, F.max(top).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)).alias(before))
+    last = F.last(own, ignorenulls=True).over(Window.partitionBy(part).orderBy("k", kind).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn(here, last).where(F.col(kind) == 1).join(starts, part).select("k", *cols, F.coalesce(here, before).alias("floor"))

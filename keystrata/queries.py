@@ -2,34 +2,44 @@
 
 Put-log P: events by user, timed in microseconds, the event type as value; gen = event_id % 4 stands
 for four segments or tables. Coarse put-log C has day numbers as times, so that repeats and ties occur.
-Keys and records are shown as hex.
+Keys and records are shown as hex. Every query runs over its whole table: where tables of other key ranges are
+needed, dealt() shares all events out by where their key lies between the least and the greatest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.codec import decode_time, decode_value, entry_bytes, long_key, record_string
 from .operators import layout, merge, views
 from .operators.model import put_log
+from .plans.levels import Limits
+from .sources import log as logs
 from .sources.shared import shared_path
-from .streaming.latest import maintain_latest, read_latest
+from .store import Store
+from .streaming.latest import compact_latest, maintain_latest, read_latest
 
 
 def _micros(ts: str):
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def fine_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, users: Column | None = None) -> DataFrame:
+    """users: a condition on user_id for a lookup, which is pushed to the scan."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e if users is None else e.where(users)
+
+
+def fine_log(spark: SparkSession, sf_dir: str, users: Column | None = None) -> DataFrame:
+    e = events(spark, sf_dir, users)
     return put_log(e, F.col("event_id"), long_key("user_id"), _micros("ts"), F.encode("event_type", "UTF-8"), F.col("user_id"), (F.col("event_id") % 4).alias("gen"))
 
 
-def coarse_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+def coarse_log(spark: SparkSession, sf_dir: str, users: Column | None = None) -> DataFrame:
+    e = events(spark, sf_dir, users)
     return put_log(e, F.col("event_id"), long_key("user_id"), F.floor(_micros("ts") / 86_400_000_000), F.encode("event_type", "UTF-8"), (F.col("event_id") % 4).alias("gen"))
 
 
@@ -38,6 +48,14 @@ def line_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return put_log(li, F.col("l_linenumber"), long_key("l_orderkey"), _micros("l_shipdate"), F.encode("l_returnflag", "UTF-8"), F.col("l_linenumber"))
 
 
+def dealt(log: DataFrame, parts: int) -> DataFrame:
+    """log with tab: the keys' range is cut into `parts` stretches, and every other put of a stretch goes to the table before, so that neighbours overlap."""
+    ends = log.agg(F.min("user_id").alias("lo"), F.max("user_id").alias("hi")).first()  # one row
+    lo, width = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    stretch = F.floor((F.col("user_id") - lo) * parts / F.lit(width)).cast("long")
+    return log.withColumn("tab", F.greatest(F.lit(0).cast("long"), stretch - F.col("seq") % 2))
+
+
 def shown(df: DataFrame) -> DataFrame:
     for c in ("k", "rec"):
         if c in df.columns:
@@ -52,11 +70,12 @@ L = "l AS (SELECT l_linenumber, lpad(hex(l_orderkey), 16, '0') AS k, lpad(hex(ep
 
 
 def point_get(spark, sf_dir):
-    return shown(views.get(fine_log(spark, sf_dir), long_key(F.lit(USER))).select("k", "rec"))
+    # the key is made from user_id, so the equality is pushed to the scan as one of user_id
+    return shown(views.get(fine_log(spark, sf_dir, F.col("user_id") == USER), long_key(F.lit(USER))).select("k", "rec"))
 
 
 def get_versions(spark, sf_dir):
-    got = views.versions(views.get(coarse_log(spark, sf_dir), long_key(F.lit(USER))))
+    got = views.versions(views.get(coarse_log(spark, sf_dir, F.col("user_id") == USER), long_key(F.lit(USER))))
     return shown(got.select("k", F.array_join(F.transform("versions", F.hex), ",").alias("versions")))
 
 
@@ -83,16 +102,14 @@ def collect_sources(spark, sf_dir):
     return shown(views.collect_sources(*[views.latest(log.where(F.col("gen") == g)).withColumn("gen", F.lit(g).cast("long")) for g in range(4)]))
 
 
-def merge_memtables(spark, sf_dir):
+def merge_all_memtables(spark, sf_dir):
     log = coarse_log(spark, sf_dir)
-    return shown(merge.merge_versions(log.where("gen = 0"), log.where("gen = 1")))
+    return shown(merge.merge_versions(log.where("gen IN (0, 1)"), log.where("gen IN (2, 3)")))
 
 
-def merge_two_tables(spark, sf_dir):
-    log = fine_log(spark, sf_dir)
-    left = views.latest(log.where((F.col("gen") == 0) & (F.col("k") < long_key(F.lit(100)))))
-    right = views.latest(log.where((F.col("gen") == 1) & (F.col("k") > long_key(F.lit(30)))))
-    return shown(merge.outer_merge(left, right))
+def merge_dealt_tables(spark, sf_dir):
+    log = dealt(fine_log(spark, sf_dir), 3)
+    return shown(merge.outer_merge(views.latest(log.where("tab = 0")), views.latest(log.where("tab > 0"))))
 
 
 def merge_run(spark, sf_dir):
@@ -122,30 +139,28 @@ def ordered_scan(spark, sf_dir):
 
 
 def scan_range(spark, sf_dir):
-    log = fine_log(spark, sf_dir)
+    log = fine_log(spark, sf_dir, F.col("user_id").between(20, 60))
     return shown(views.latest(views.scan_range(log, long_key(F.lit(20)), long_key(F.lit(60)))))
 
 
-def key_range(spark, sf_dir):
-    ranges = views.key_range(fine_log(spark, sf_dir).where(F.col("user_id") % 7 > F.col("gen")), "gen")
-    hit = ranges.select("*", F.explode(F.sequence(F.lit(0), F.lit(190), F.lit(10))).alias("id")).withColumn("k", long_key("id"))
-    hit = hit.withColumn("inside", F.col("k").between(F.col("begin"), F.col("end")))
-    return hit.select("gen", F.hex("k").alias("k"), F.hex("begin").alias("begin_key"), F.hex("end").alias("end_key"), "inside")
+def key_ranges(spark, sf_dir):
+    log = dealt(fine_log(spark, sf_dir), 8)
+    found = layout.holders(log.select("k").distinct(), views.key_range(log, "tab"))
+    return found.select("tab", F.hex("begin").alias("begin_key"), F.hex("end").alias("end_key"), "n_inside")
 
 
 def filter_probe(spark, sf_dir):
     return shown(views.probe(spark.range(0, 400, 3).select(long_key("id").alias("k")), fine_log(spark, sf_dir)))
 
 
-def index_floor(spark, sf_dir):
-    index = fine_log(spark, sf_dir).where("user_id % 10 = 3").select("k").distinct()
-    found = views.floor_lookup(spark.range(0, 200).select(long_key("id").alias("k")), index)
-    return found.select(F.hex("k").alias("k"), F.hex("floor").alias("floor_key"))
+def index_floors(spark, sf_dir):
+    keys = fine_log(spark, sf_dir).select("k").distinct()
+    probes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(long_key("c_custkey").alias("k"))
+    return views.floor_lookup(probes, keys).select(F.hex("k").alias("k"), F.hex("floor").alias("floor_key"))
 
 
-def range_overlap(spark, sf_dir):
-    log = fine_log(spark, sf_dir).withColumn("tab", F.col("seq") % 8).where((F.col("user_id") >= F.col("tab") * 18) & (F.col("user_id") < F.col("tab") * 18 + 25))
-    return layout.overlaps(views.key_range(log, "tab"))
+def overlapping_ranges(spark, sf_dir):
+    return layout.overlaps(views.key_range(dealt(fine_log(spark, sf_dir), 8), "tab"))
 
 
 def distinct_keys(spark, sf_dir):
@@ -176,9 +191,56 @@ def streaming_latest(spark, sf_dir):
     log = put_log(stream, F.col("event_id"), long_key("user_id"), _micros("ts"), F.encode("event_type", "UTF-8"))
     table = shared_path(spark, "latest")
     maintain_latest(log, table, shared_path(spark, "stream")).awaitTermination()
+    compact_latest(spark, table)
     return shown(read_latest(spark, table))
 
 
+def _filled(spark, sf_dir, log: DataFrame, history: bool = False) -> Store:
+    """A store that has all puts in four portions, flushed after each but the last, with limits so low that levels fill and merge."""
+    store = Store(spark, shared_path(spark, "store"), Limits(base_tables=2, level_tables=1, table_bytes=64 << 10), history=history)
+    for gen in range(4):
+        store.put(log.where(F.col("gen") == gen))
+        if gen < 3:
+            store.flush()
+    return store
+
+
+def store_latest(spark, sf_dir):
+    """Put, flush, leveled merges; one portion is still a segment; read by a store that is opened anew."""
+    store = _filled(spark, sf_dir, fine_log(spark, sf_dir))
+    return shown(Store(spark, store.path, store.limits).latest().select("k", "rec"))
+
+
+def store_versions(spark, sf_dir):
+    """All versions after flushes, merges and a compaction of a store that keeps them."""
+    store = _filled(spark, sf_dir, coarse_log(spark, sf_dir), history=True)
+    store.compact()
+    store.vacuum()
+    v = Store(spark, store.path, store.limits, history=True).versions()
+    return shown(v.select("k", F.size("versions").cast("long").alias("n_versions"), F.array_join(F.transform("versions", F.hex), ",").alias("versions")))
+
+
+def store_closed(spark, sf_dir):
+    """What is flushed by close(): by the manifest, the number of records of one run and its key range; no two tables overlap."""
+    store = _filled(spark, sf_dir, fine_log(spark, sf_dir))
+    store.compact()
+    store.close()
+    tables = Store(spark, store.path, store.limits).levels.live()
+    apart = all(a.end < b.begin for a, b in zip(tables, tables[1:]))
+    return spark.createDataFrame([(sum(t.n_rows for t in tables), min(t.begin for t in tables), max(t.end for t in tables), apart, store.mem_size())], "n_records long, begin_key string, end_key string, apart boolean, mem_bytes long")
+
+
+def log_replayed(spark, sf_dir):
+    """Puts written as append logs, read back and replayed into a store."""
+    logs.register(spark)
+    path = shared_path(spark, "log")
+    fine_log(spark, sf_dir).select("k", "rec").write.format("kvlog").mode("append").save(path)
+    store = Store(spark, shared_path(spark, "store"))
+    store.replay(spark.read.format("kvlog").load(path))
+    store.flush()
+    return shown(store.latest().select("k", "rec"))
+
+
 def lineitem_latest(spark, sf_dir):
     return shown(views.latest(line_log(spark, sf_dir)))
 
@@ -194,6 +256,7 @@ def document_sizes(spark, sf_dir):
     return log.groupBy("source").agg(F.sum(entry_bytes("k", "rec")).cast("long").alias("mem_bytes"), F.max("t").alias("last_t"))
 
 
+DEALT = "e AS (SELECT min(user_id) AS lo, max(user_id) - min(user_id) + 1 AS width FROM p)"
 _SQL = {
     "point_get": f"WITH {P} SELECT k, rec FROM p WHERE user_id = {USER}",
     "get_versions": f"WITH {C} SELECT k, string_agg(DISTINCT rec, ',' ORDER BY rec) AS versions FROM c WHERE k = lpad(hex({USER}), 16, '0') GROUP BY k",
@@ -202,8 +265,6 @@ _SQL = {
     "dump_all_versions": f"WITH {C} SELECT k, count(DISTINCT rec) AS n_versions, string_agg(DISTINCT rec, ',' ORDER BY rec) AS versions FROM c GROUP BY k",
     "pair_iterator": f"WITH {C} SELECT DISTINCT k, rec FROM c",
     "collect_sources": f"WITH {C} SELECT k, max(rec) AS rec, gen FROM c GROUP BY gen, k",
-    "merge_memtables": f"WITH {C} SELECT DISTINCT k, rec FROM c WHERE gen IN (0, 1)",
-    "merge_two_tables": f"WITH {P}, a AS (SELECT k, max(rec) AS r FROM p WHERE gen = 0 AND user_id < 100 GROUP BY k), b AS (SELECT k, max(rec) AS r FROM p WHERE gen = 1 AND user_id > 30 GROUP BY k) SELECT coalesce(a.k, b.k) AS k, greatest(a.r, b.r) AS rec, CASE WHEN b.r IS NULL THEN 'left' WHEN a.r IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k",
     "merge_run": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
     "mem_size": f"WITH {P} SELECT gen, CAST(sum(16 + length(k) // 2 + length(rec) // 2) AS BIGINT) AS mem_bytes FROM p GROUP BY gen",
     "mem_size_running": f"WITH {P} SELECT gen, seq, CAST(sum(16 + length(k) // 2 + length(rec) // 2) OVER (PARTITION BY gen ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mem_bytes FROM p",
@@ -211,10 +272,16 @@ _SQL = {
     "string_of_record": f"WITH {P} SELECT seq, v || ' [' || t || ']' AS shown FROM p",
     "ordered_scan": f"WITH {P} SELECT k, max(rec) AS rec, row_number() OVER (ORDER BY k) AS n FROM p GROUP BY k",
     "scan_range": f"WITH {P} SELECT k, max(rec) AS rec FROM p WHERE user_id BETWEEN 20 AND 60 GROUP BY k",
-    "key_range": f"WITH {P}, r AS (SELECT gen, min(k) AS b, max(k) AS e FROM p WHERE user_id % 7 > gen GROUP BY gen), q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 200, 10)) SELECT gen, k, b AS begin_key, e AS end_key, k BETWEEN b AND e AS inside FROM q, r",
     "filter_probe": f"WITH {P}, q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 400, 3)) SELECT k FROM q WHERE k IN (SELECT k FROM p)",
-    "index_floor": f"WITH {P}, i AS (SELECT DISTINCT k FROM p WHERE user_id % 10 = 3), q AS (SELECT lpad(hex(range), 16, '0') AS k FROM range(0, 200)) SELECT q.k, (SELECT max(i.k) FROM i WHERE i.k <= q.k) AS floor_key FROM q",
-    "range_overlap": f"WITH {P}, r AS (SELECT seq % 8 AS tab, min(k) AS b, max(k) AS e FROM p WHERE user_id >= (seq % 8) * 18 AND user_id < (seq % 8) * 18 + 25 GROUP BY 1) SELECT x.tab AS a, y.tab AS b, x.e >= y.b AND x.b <= y.e AS overlap FROM r x JOIN r y ON x.tab < y.tab",
+    "merge_all_memtables": f"WITH {C} SELECT DISTINCT k, rec FROM c",
+    "merge_dealt_tables": f"WITH {P}, {DEALT}, d AS (SELECT p.*, greatest(0, (user_id - lo) * 3 // width - seq % 2) AS tab FROM p, e), a AS (SELECT k, max(rec) AS r FROM d WHERE tab = 0 GROUP BY k), b AS (SELECT k, max(rec) AS r FROM d WHERE tab > 0 GROUP BY k) SELECT coalesce(a.k, b.k) AS k, greatest(a.r, b.r) AS rec, CASE WHEN b.r IS NULL THEN 'left' WHEN a.r IS NULL THEN 'right' ELSE 'both' END AS side FROM a FULL JOIN b ON a.k = b.k",
+    "key_ranges": f"WITH {P}, {DEALT}, d AS (SELECT p.*, greatest(0, (user_id - lo) * 8 // width - seq % 2) AS tab FROM p, e), r AS (SELECT tab, min(k) AS b, max(k) AS e FROM d GROUP BY tab), q AS (SELECT DISTINCT k FROM p) SELECT tab, b AS begin_key, e AS end_key, count(*) AS n_inside FROM r JOIN q ON q.k BETWEEN r.b AND r.e GROUP BY tab, b, e",
+    "index_floors": f"WITH {P}, i AS (SELECT DISTINCT k FROM p), q AS (SELECT lpad(hex(c_custkey), 16, '0') AS k FROM customer) SELECT q.k, (SELECT max(i.k) FROM i WHERE i.k <= q.k) AS floor_key FROM q",
+    "overlapping_ranges": f"WITH {P}, {DEALT}, d AS (SELECT p.*, greatest(0, (user_id - lo) * 8 // width - seq % 2) AS tab FROM p, e), r AS (SELECT tab, min(k) AS b, max(k) AS e FROM d GROUP BY tab) SELECT x.tab AS a, y.tab AS b FROM r x JOIN r y ON x.tab < y.tab AND x.e >= y.b AND x.b <= y.e",
+    "store_latest": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
+    "store_versions": f"WITH {C} SELECT k, count(DISTINCT rec) AS n_versions, string_agg(DISTINCT rec, ',' ORDER BY rec) AS versions FROM c GROUP BY k",
+    "store_closed": f"WITH {P} SELECT count(DISTINCT k) AS n_records, min(k) AS begin_key, max(k) AS end_key, true AS apart, CAST(0 AS BIGINT) AS mem_bytes FROM p",
+    "log_replayed": f"WITH {P} SELECT k, max(rec) AS rec FROM p GROUP BY k",
     "distinct_keys": f"WITH {P} SELECT gen, count(DISTINCT k) AS n_keys FROM p GROUP BY gen",
     "level_overflow": "WITH m AS (SELECT event_id % 40 AS tab, CASE WHEN event_id % 40 < 12 THEN 0 ELSE 1 END AS level FROM events) SELECT CAST(level AS BIGINT) AS level, count(DISTINCT tab) AS n_tables, CAST(10 * pow(10, level) AS BIGINT) AS max_tables, count(DISTINCT tab) > 10 * pow(10, level) AS overflow FROM m GROUP BY level",
     "latest_window": f"WITH {P} SELECT k, rec FROM p QUALIFY row_number() OVER (PARTITION BY k ORDER BY rec DESC) = 1",

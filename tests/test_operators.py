@@ -93,3 +93,81 @@ def test_segment_and_block_cuts(spark):
     assert sorted((r["segment"], r["count"]) for r in cuts) == [(0, 10), (1, 10), (2, 5)]
     blocks = layout.block_cuts(views.latest(df).withColumn("tab", F.lit(1)), "tab", 100).collect()
     assert sorted((r["block"], r["n_rows"], r["block_bytes"]) for r in blocks) == [(i, 3, 84) for i in range(8)] + [(8, 1, 28)]
+
+
+def test_overlaps_and_holders_against_plain_python(spark):
+    rng = random.Random(7)
+    tables = [(i, *sorted(rng.randrange(256) for _ in range(2))) for i in range(40)] + [(40, 10, 10), (41, 10, 10), (42, 0, 255)]
+    manifest = spark.createDataFrame([(t, bytes([b]), bytes([e])) for t, b, e in tables], "tab long, begin binary, end binary")
+    expected = {(x[0], y[0]) for x in tables for y in tables if x[0] < y[0] and x[2] >= y[1] and x[1] <= y[2]}
+    got = [tuple(r) for r in layout.overlaps(manifest).collect()]
+    assert len(got) == len(expected) and set(got) == expected
+    keys = spark.createDataFrame([(bytes([i]),) for i in range(0, 256, 3)], "k binary")
+    assert {r["tab"]: r["n_inside"] for r in layout.holders(keys, manifest).collect()} == {t: sum(b <= i <= e for i in range(0, 256, 3)) for t, b, e in tables}
+    assert layout.overlaps(manifest.limit(0)).count() == layout.holders(keys, manifest.limit(0)).count() == 0
+
+
+def test_running_size_of_one_large_segment(spark):
+    rows = [(i, bytes(i % 5), i, b"v" * (i % 7)) for i in range(300)]
+    random.Random(4).shuffle(rows)
+    df = log(spark, rows).withColumn("gen", F.when(F.col("seq") < 290, 0).otherwise(1)).withColumn("size", F.lit("clash")).withColumn("part", F.lit(0))
+    total, expected = {0: 0, 1: 0}, {}
+    for seq, k, _, v in sorted(rows):
+        total[seq >= 290] += 16 + len(k) + 8 + len(v)
+        expected[seq] = total[seq >= 290]
+    got = layout.running_size(df.repartition(4), "gen")
+    assert got.columns == [*df.columns, "mem_bytes"] and {r["seq"]: r["mem_bytes"] for r in got.collect()} == expected
+
+
+def test_blocks_against_plain_python(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, i.to_bytes(4, "big"), 1, b"v" * rng.choice([0, 5, 40, 300])) for i in range(2500)]
+    tab = F.when(F.col("seq") < 7, 2).otherwise(F.col("seq") % 2).cast("int")
+    expected = []
+    for t in range(3):
+        block = None
+        for i, k, _, v in rows:
+            if (2 if i < 7 else i % 2) != t:
+                continue
+            size = 4 + 4 + 8 + len(v)
+            if block is None or block[4] + size > 200:
+                block = [t, 0 if block is None else block[1] + 1, k.hex().upper(), 0, 0]
+                expected.append(block)
+            block[3] += 1
+            block[4] += size
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = layout.block_cuts(log(spark, rows).withColumn("tab", tab), "tab", 200).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(map(list, got)) == sorted(expected)
+
+
+def test_helper_columns_never_clash(spark):
+    df = spark.createDataFrame([(i.to_bytes(1, "big"), i, i, i, i, i) for i in range(9)], "k binary, part int, inside int, before int, kind int, top int")
+    got = views.ordinal(df, "k")
+    assert got.columns == [*df.columns, "n"] and all(r["n"] == r["part"] + 1 == r["inside"] + 1 for r in got.collect())
+    found = views.floor_lookup(df, df.where("kind % 2 = 0"))
+    assert found.columns == [*df.columns, "floor"] and all(r["floor"][0] == r["top"] // 2 * 2 for r in found.collect())
+
+
+def test_streaming_table_is_compacted(spark, tmp_path):
+    from keystrata.streaming.latest import compact_latest, read_latest
+
+    table = str(tmp_path / "latest")
+    for n, rows in enumerate([[(b"a", b"1"), (b"b", b"5")], [(b"a", b"3")], [(b"c", b"2"), (b"b", b"4")]]):
+        spark.createDataFrame(rows, "k binary, rec binary").write.parquet(f"{table}/batch={n}")
+    for _ in range(2):
+        assert sorted((bytes(r["k"]), bytes(r["rec"])) for r in read_latest(spark, table).collect()) == [(b"a", b"3"), (b"b", b"5"), (b"c", b"2")]
+        compact_latest(spark, table)
+    assert len([p for p in (tmp_path / "latest").iterdir() if p.name.startswith("batch=")]) == 1
+
+
+def test_load_program(spark, tmp_path):
+    from keystrata.sources.generate import run_load
+    from keystrata.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    told = list(run_load(store, 250, every=100, keys=50))
+    assert [n for n, _ in told] == [100, 200, 250] and all(s > 0 for _, s in told)
+    assert store.mem_size() == 250 * (16 + 8 + 16)

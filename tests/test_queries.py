@@ -33,3 +33,18 @@ def test_lookup_is_pushed_to_the_scan(spark, tmp_path):
     spark.range(100).selectExpr("unhex(lpad(hex(id), 16, '0')) AS k", "id AS t", "unhex('61') AS v").write.parquet(str(tmp_path / "t"))
     plan = views.get(spark.read.parquet(str(tmp_path / "t")), F.lit(bytes(7) + b"\x05"))._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(k), EqualTo(k" in plan
+
+
+def test_registered_lookups_are_pushed_to_the_scan(spark, oracle):
+    for name in ("point_get", "get_versions", "scan_range"):
+        plan = core.queries()[name](spark, oracle[0])._jdf.queryExecution().toString()
+        pushed = next(line for line in plan.splitlines() if "PushedFilters" in line)
+        assert "(user_id," in pushed.split("PushedFilters")[1], name
+
+
+def test_every_event_is_in_a_dealt_table(spark, oracle):
+    folder, con = oracle
+    n = con.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    for parts in (3, 8):
+        dealt = core.dealt(core.fine_log(spark, folder), parts)
+        assert dealt.count() == n and 0 <= dealt.selectExpr("min(tab)").first()[0] <= dealt.selectExpr("max(tab)").first()[0] < parts
