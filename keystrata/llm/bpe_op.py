@@ -8,8 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import tidy, whole_text
-
-SLICE = 256
+from .stretches import portions
 
 
 def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFrame:
@@ -25,11 +24,10 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFra
 
         c = codec(tokenizer)
         for batch in batches:
-            ids_col, texts = batch.column(0), batch.column(1)
-            for at in range(0, batch.num_rows, SLICE):
-                coded = c.encode_batch(texts.slice(at, SLICE).to_pylist())
+            for part in portions(batch, 1):
+                coded = c.encode_batch(part.column(1))
                 plain = [c.decode(x).decode("utf-8", "replace") for x in coded]
-                cols = [ids_col.slice(at, SLICE), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in plain])]
+                cols = [part.column(0), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in coded]), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in plain])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep:
                     import numpy as np

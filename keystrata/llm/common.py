@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import discard, shared_dir, shared_path, written
+from ..sources.shared import discard, names_in, qualified, remove, shared_dir, shared_path, written
 
 #: The white space of the contracts: bytes 20 and 09 to 0D, nothing else.
 WHITE = " \t\n\x0b\x0c\r"
@@ -62,4 +62,4 @@ def spare(df: DataFrame, base: str) -> str:
     return base
 
 
-__all__ = ["WHITE", "WORD_GAP", "discard", "doc_number", "read_documents", "release", "shared_dir", "shared_path", "spare", "tidy", "whole_text", "written"]
+__all__ = ["WHITE", "WORD_GAP", "discard", "doc_number", "names_in", "qualified", "read_documents", "release", "remove", "shared_dir", "shared_path", "spare", "tidy", "whole_text", "written"]

@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shared_path, tidy, whole_text, written
+from .common import names_in, qualified, remove, shared_path, tidy, whole_text, written
+from .stretches import portions
 
 MAGIC = b"DACT0001"
 BLOCK = 512
-#: Documents whose new stretches are encoded together.
-SLICE = 2048
+#: Documents that are encoded together, at most.
+SLICE = 4096
 
 
 def pack_tokens(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -69,37 +70,51 @@ class TokenFile:
                 at += 8 + size
             self.levels.append(level)
 
+    def _ones(self, level: int, i: int) -> int:
+        """How many of the first i bits of a level are set: one directory entry, and the bits of part of a block."""
+        _, bits, rank = self.levels[level]
+        first = i // BLOCK * BLOCK // 8
+        out = int(rank[i // BLOCK]) + int(np.bitwise_count(bits[first : i >> 3]).sum())
+        return out + (int(bits[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else out
+
     def token(self, i: int) -> int:
         """The i-th id, by rank steps alone."""
-        value, shift = 0, 0
-        for chunks, bits, rank in self.levels:
-            value |= int(chunks[i]) << shift
+        value = 0
+        for k, (chunks, bits, _) in enumerate(self.levels):
+            value |= int(chunks[i]) << 8 * k
             if not bits[i >> 3] >> (i & 7) & 1:
                 break
-            block = i // BLOCK
-            first = block * BLOCK // 8
-            whole, tail = bits[first : i >> 3], int(bits[i >> 3]) & ((1 << (i & 7)) - 1)
-            i = int(rank[block]) + int(np.bitwise_count(whole).sum()) + tail.bit_count()
-            shift += 8
+            i = self._ones(k, i)
         return value
 
-    def all(self) -> np.ndarray:
-        """All ids at once."""
-        out = np.zeros(self.n_tokens, np.uint32)
-        at = np.arange(self.n_tokens)
+    def span(self, i: int, j: int) -> np.ndarray:
+        """Ids i..j-1: at each level the chunks of just these, which stand side by side."""
+        out, at = np.zeros(j - i, np.uint32), np.arange(j - i)
         for k, (chunks, bits, _) in enumerate(self.levels):
-            out[at] |= chunks.astype(np.uint32) << np.uint32(8 * k)
-            at = at[np.unpackbits(bits, bitorder="little", count=len(chunks)).astype(bool)]
+            if i == j:
+                break
+            out[at] |= chunks[i:j].astype(np.uint32) << np.uint32(8 * k)
+            more = np.unpackbits(bits[i >> 3 : (j + 7) >> 3], bitorder="little")[i & 7 : (i & 7) + j - i].view(bool)
+            at = at[more]
+            if len(at):
+                i = self._ones(k, i)
+            j = i + len(at) if len(at) else i
         return out
 
+    def all(self) -> np.ndarray:
+        """All ids at once."""
+        return self.span(0, self.n_tokens)
+
     def document(self, k: int) -> np.ndarray:
-        return self.all()[int(self.offsets[k]) : int(self.offsets[k + 1])]
+        """The ids of the k-th document; nothing else is decoded."""
+        return self.span(int(self.offsets[k]), int(self.offsets[k + 1]))
 
 
 def _store(path: str):
+    """path must have a scheme, as qualified() gives it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+    return fs.FileSystem.from_uri(path)
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word", end_id: int = 1, file_tokens: int = 8_000_000) -> DataFrame:
@@ -107,8 +122,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
 
     Documents are range-partitioned by (doc_id, text hash); each task writes one file after another
     of about file_tokens ids. A file is written under a name of its attempt, then renamed, so a
-    task that is run again leaves the same files. A null doc_id comes first and is stored as a flag.
+    task that is run again leaves the same files, and what dead attempts left is deleted at the end. A null
+    doc_id comes first and is stored as a flag. A folder without scheme is in the default file system;
+    pyarrow must be able to open it.
     """
+    spark = docs.sparkSession
+    folder = qualified(spark, folder)
 
     def run(batches):
         import os
@@ -118,7 +137,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
 
         from .tokens import encoder
 
-        e, part, seq, held, n = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, [], 0
+        e, number, seq, held, n = encoder(tokenizer, kind), TaskContext.get().partitionId(), 0, [], 0
         files, base = _store(folder)
         files.create_dir(base, recursive=True)
         end = end_id.to_bytes(4, "little")
@@ -128,15 +147,15 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
             known = np.array([i is not None for i, _ in held], bool)
             data = pack_tokens(np.array([i or 0 for i, _ in held], np.int64), np.array([len(x) // 4 for _, x in held], np.int64), ids)
             data += np.packbits(known).tobytes()
-            path = f"{base}/part-{part:06d}-{seq:04d}.dac"
+            path = f"{base}/part-{number:06d}-{seq:04d}.dac"
             with files.open_output_stream(tmp := f"{path}.{uuid.uuid4().hex}") as f:
                 f.write(data)
             files.move(tmp, path)
-            return part, seq, os.path.basename(path), len(held), len(ids)
+            return number, seq, os.path.basename(path), len(held), len(ids)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                for i, ids in zip(batch.column(0).slice(at, SLICE).to_pylist(), e.encode_batch(batch.column(1).slice(at, SLICE).to_pylist())):
+            for part in portions(batch, 1, SLICE):
+                for i, ids in zip(part.column(0).to_pylist(), e.encode_batch(part.column(1))):
                     held.append((i, ids + end))
                     n += len(ids) // 4 + 1
                 if n >= file_tokens:
@@ -148,13 +167,18 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, kind: str = "word
     names = ["part", "seq", "path", "n_docs", "n_tokens"]
     kinds = pa.schema([("part", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
     ordered = docs.select("doc_id", whole_text().alias("text")).withColumn("t", F.xxhash64("text")).repartitionByRange("doc_id", "t").sortWithinPartitions("doc_id", "t").select("doc_id", "text")
-    return written(ordered.mapInArrow(tidy(run), "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"), "token-files")
+    listing = written(ordered.mapInArrow(tidy(run), "part bigint, seq bigint, path string, n_docs bigint, n_tokens bigint"), "token-files")
+    for name in names_in(spark, folder):
+        if ".dac." in name:
+            remove(spark, f"{folder}/{name}")
+    return listing
 
 
 def read_tokens(listing: DataFrame, folder: str, keep_ids: bool = False) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32 and, with keep_ids, ids."""
     # one row per file, of about file_tokens ids each: a window over the list of files, not over documents
     first = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    folder = qualified(listing.sparkSession, folder)
     files = listing.withColumn("start", first).select("path", "start").repartition(max(1, listing.count()), "path")
 
     def run(batches):
@@ -164,12 +188,13 @@ def read_tokens(listing: DataFrame, folder: str, keep_ids: bool = False) -> Data
                 with store.open_input_stream(f"{base}/{path}") as f:
                     data = f.read()
                 t = TokenFile(data)
-                ids, n = t.all(), len(t.doc_ids)
-                raw, off = ids.astype("<u4").tobytes(), t.offsets.astype(np.int64)
+                n, off = len(t.doc_ids), t.offsets.astype(np.int64)
                 known = np.unpackbits(np.frombuffer(data, np.uint8)[-(-(-n // 8)) :], count=n).astype(bool)
-                cols = [pa.array(t.doc_ids, mask=~known), pa.array(off[:-1] + start), pa.array(np.diff(off)), pa.array([zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.int64())]
+                ids = [t.document(k) for k in range(n)] if keep_ids else None
+                sums = [zlib.crc32((ids[k] if keep_ids else t.document(k)).astype("<u4", copy=False)) for k in range(n)]
+                cols = [pa.array(t.doc_ids, mask=~known), pa.array(off[:-1] + start), pa.array(np.diff(off)), pa.array(sums, pa.int64())]
                 if keep_ids:
-                    cols.append(pa.array([ids[a:b].astype(np.int32) for a, b in zip(off[:-1].tolist(), off[1:].tolist())], pa.list_(pa.int32())))
+                    cols.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * keep_ids)
 
     return files.mapInArrow(tidy(run), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * keep_ids)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import tidy, whole_text, written
+from .stretches import portions
 
-#: Documents whose new stretches are encoded together.
-SLICE = 2048
+#: Documents that are encoded together, at most.
+SLICE = 4096
 #: A plan of at most this many rows is broadcast (40 bytes each); a longer one is joined by shuffling.
 PLAN_ROWS = 200_000
 
@@ -68,9 +69,9 @@ def pieces_of(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int =
 
         e = encoder(tokenizer, kind)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
+            for part in portions(batch, 1, SLICE):
                 rows: list[list] = [[], [], [], [], [], []]
-                for i, ids in zip(batch.column(0).slice(at, SLICE).to_pylist(), e.encode_batch(batch.column(1).slice(at, SLICE).to_pylist())):
+                for i, ids in zip(part.column(0).to_pylist(), e.encode_batch(part.column(1))):
                     ids, start = ids + end, 0
                     for piece, n in enumerate(cut(len(ids) // 4, capacity)):
                         own = ids[4 * start : 4 * (start + n)]

@@ -104,6 +104,41 @@ def test_direct_access(top):
     assert f.document(3).tolist() == values[lengths[:3].sum() : lengths[:4].sum()].tolist()
 
 
+def test_access_decodes_only_what_is_asked(monkeypatch):
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(0, 2000, 40)
+    values = rng.integers(0, 60_000, lengths.sum()).astype(np.uint32)
+    f = dac.TokenFile(dac.pack_tokens(np.arange(40), lengths, values))
+    ends = np.cumsum(lengths)
+    seen = []
+    unpack = np.unpackbits
+    monkeypatch.setattr(np, "unpackbits", lambda bits, **kw: seen.append(len(bits)) or unpack(bits, **kw))
+    for k in range(40):
+        seen.clear()
+        assert f.document(k).tolist() == values[ends[k] - lengths[k] : ends[k]].tolist()
+        assert sum(seen) <= 2 * (lengths[k] / 8 + 2) * len(f.levels)
+    for i, j in rng.integers(0, len(values), (50, 2)):
+        i, j = sorted((int(i), int(j)))
+        assert f.span(i, j).tolist() == values[i:j].tolist()
+
+
+def test_merging_side_by_side_is_merging(own):
+    codec, rng = own[0], random.Random(12)
+    words = ["".join(rng.choice("abeinoqrst") for _ in range(rng.randrange(0, 14))).encode() for _ in range(3000)] + [b"a" * n for n in range(60)] + [b"ab" * n for n in range(40)] + ["ñandú".encode(), b"", b"zzzzz"]
+    ids_, counts = codec.merge_many(words)
+    ends = np.cumsum(counts)
+    for w, n, end in zip(words, counts.tolist(), ends.tolist()):
+        assert ids_[end - n : end].tolist() == codec.merge(w)
+
+
+def test_texts_keep_their_order(own, libraries):
+    """Odd texts are cut another way than the others, and come back in their places."""
+    texts = ["a b", "x  y", "", "plain text.", " lead", "trail ", "end<|endoftext|>", "Ünïcode, wörds!", "a\nb\n"]
+    byte, word = libraries[BYTE], libraries[WORD]
+    for e, library in ((own[0], byte), (own[1], byte), (own[2], word)):
+        assert list(map(ids, e.encode_batch(texts))) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_empty_token_file():
     f = dac.TokenFile(dac.pack_tokens(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)))
     assert len(f.all()) == 0
