@@ -158,7 +158,7 @@ def text_to_media(docs: DataFrame, level: int = 1, filter_kind: int | None = Non
     """doc_id, n_bytes, media: each text's payload as a PNG in a binary column.
 
     The payload is the UTF-8 text (null: empty) filled with blanks to a positive multiple of 192.
-    Repeated rows and null ids pass through; other columns are ignored.
+    Repeated rows and null ids pass through; other columns are ignored; no rows give no rows. A very long text is one tall image.
     """
 
     def run(batches):

@@ -41,6 +41,67 @@ def test_many_chunks():
     assert stored.count(b"IDAT") > 3 and media.decode_png(stored).tobytes() == payload
 
 
+def plain_png(media_bytes):
+    """A decoder of its own, byte by byte as the PNG specification says: width, rows of samples, filters met."""
+    at, data, width, height = 8, b"", 0, 0
+    assert media_bytes[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    while at < len(media_bytes):
+        n = int.from_bytes(media_bytes[at : at + 4], "big")
+        kind, body = media_bytes[at + 4 : at + 8], media_bytes[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(media_bytes[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        elif kind == b"IDAT":
+            data += body
+        at += 12 + n
+    raw, above, rows, met = zlib.decompress(data), [0] * width, [], set()
+    for y in range(height):
+        kind, line = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)]
+        met.add(kind)
+        row = []
+        for x, v in enumerate(line):
+            a, b, c = (row[x - 1] if x else 0), above[x], (above[x - 1] if x else 0)
+            p = a + b - c
+            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+            row.append((v + (0, a, b, (a + b) // 2, near)[kind]) % 256)
+        above = row
+        rows.append(row)
+    return width, rows, met
+
+
+def test_another_decoder_reads_the_same():
+    rng = np.random.default_rng(5)
+    words = " ".join("".join(map(chr, rng.integers(97, 123, rng.integers(2, 9)))) for _ in range(400))
+    ramp = bytes((x * y // 7) % 256 for y in range(40) for x in range(media.WIDTH))
+    met = set()
+    for payload in (media.payload_of(words)[0], ramp, rng.integers(0, 256, 192 * 9, dtype=np.uint8).tobytes(), media.payload_of("")[0]):
+        stored = media.encode_png(payload)
+        width, rows, kinds = plain_png(stored)
+        met |= kinds
+        assert width == media.WIDTH and bytes(v for row in rows for v in row) == payload == media.decode_png(stored).tobytes()
+    assert len(met) >= 4
+
+
+def test_hash_against_plain_sums():
+    """The mean image of 32 x 32 and its 8 x 8 lowest cosine sums, term by term."""
+    rng = np.random.default_rng(9)
+    for height in (1, 7, 32, 50):
+        pixels = rng.integers(0, 256, (height, media.WIDTH), dtype=np.uint8)
+        small = np.zeros((32, 32))
+        for i in range(32):
+            lo, hi = i * height / 32, (i + 1) * height / 32
+            for y in range(height):
+                share = max(0.0, min(hi, y + 1) - max(lo, y))
+                for j in range(32):
+                    small[i, j] += share * pixels[y, 6 * j : 6 * j + 6].mean() / (hi - lo)
+        wave = lambda k, x: np.cos(np.pi * (2 * x + 1) * k / 64)
+        coef = [round(sum(small[y, x] * wave(v, y) * wave(u, x) for y in range(32) for x in range(32)), 6) for v in range(8) for u in range(8)]
+        middle = np.median(coef[1:])
+        bits = "".join("1" if c > middle else "0" for c in coef)
+        assert media.cosine_hash(pixels) == f"{int(bits, 2):016x}"
+
+
 def test_hash_keeps_low_frequencies():
     rng = np.random.default_rng(3)
 
