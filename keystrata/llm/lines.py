@@ -30,18 +30,18 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, names:
 
     A line's key is the line without blanks at its ends, A-Z lower-cased. Keys of at least min_chars
     code points in at least min_docs documents go from all documents but the one of largest doc_id.
-    Each row counts as a document, so rows that repeat a doc_id count singly, and all rows of the
-    largest doc_id keep the line. A null doc_id is below all others; if a key is in null ids only, they all
-    keep it. A null or empty text is one empty line.
+    Rows that repeat a doc_id are one document: they count once, and all rows of the
+    largest doc_id keep the line. Rows without doc_id are one document below all others; if a key is in them only, they all
+    keep it. A null or empty text is one empty line. A very long text is split like any other: its lines are rows of their own,
+    and only their hashes and places travel. No rows give no rows.
     names has the names of the two new columns; columns of those names are replaced.
     """
     whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # a key counts once in a row: the line of its least position stands for it
-    lines = _keys(whole, min_chars)
-    once = whole.select("doc_id", F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), line_key), lambda k: F.length(k) >= min_chars), lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(7), k).alias("h2")))).alias("keys"))
-    shared = (
-        once.select("doc_id", F.explode("keys").alias("k")).select("doc_id", "k.h1", "k.h2").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    )
+    # written, so that texts are split and hashed once
+    lines = written(_keys(whole, min_chars), "lines")
+    # distinct by key and document, which spreads a hot line over all tasks, then counted with partial sums
+    once = lines.select("h1", "h2", "doc_id").distinct()
+    shared = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
     # written, so that a line which is in very many documents can be split in the join
     shared = written(shared, "shared-lines")
     goes = (

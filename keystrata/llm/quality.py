@@ -115,7 +115,7 @@ def judged(features: DataFrame, cutoffs: DataFrame) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """Per document: the base counts, base_failed and kept.
 
-    A null or empty text has no words and fails. A null language is a stratum of its own. Rows are
+    A null or empty text has no words and fails. A null and an empty language are one stratum. A very long text is judged whole. Rows are
     judged singly, repeated ones alike; a null doc_id has no label; other columns are ignored.
     """
     features = written(base_features(docs), "quality")

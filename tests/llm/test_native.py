@@ -15,10 +15,10 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def brute_lines(rows, min_chars=20, min_docs=3):
     key = lambda line: line.strip(WHITE).translate(LOWER)
-    holders = defaultdict(list)
+    holders = defaultdict(set)
     for i, t in rows:
         for k in {key(x) for x in (t or "").split("\n")}:
-            holders[k].append(i)
+            holders[k].add(i)
     out = []
     for i, t in rows:
         kept = []
@@ -54,6 +54,28 @@ def test_line_dedup_ties_and_names(spark):
     assert {r["n_lines"] for r in out} == {"mine"}
 
 
+def test_rows_of_one_document_count_once(spark):
+    """As SQL counts distinct documents: two documents, one of them in two rows, are too few."""
+    line = "this line is in all of the documents"
+    rows = [(1, line), (1, f"{line}\nagain"), (2, line), (5, f"{line} of three"), (6, f"{line} of three"), (6, f"x\n{line} of three"), (7, f"{line} of three")]
+    out = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert some((r["doc_id"], r["text"]) for r in out) == some([(1, line), (1, f"{line}\nagain"), (2, line), (5, ""), (6, ""), (6, "x"), (7, f"{line} of three")])
+
+
+def test_line_dedup_equals_its_sql_on_repeated_ids(messy):
+    """The SQL takes all rows of an id as one document: it must drop as many lines of it as all its rows lose."""
+    import duckdb
+
+    from keystrata.llm.lines import OP4_SQL
+
+    documents = messy.where("doc_id IS NOT NULL").select("doc_id", "text").toPandas()  # noqa: F841 (the SQL reads it)
+    expected = {r[0]: (r[1], r[2]) for r in duckdb.sql(OP4_SQL).fetchall()}
+    got = defaultdict(lambda: (0, 0))
+    for r in dedup_lines(messy.where("doc_id IS NOT NULL")).collect():
+        got[r["doc_id"]] = tuple(a + b for a, b in zip(got[r["doc_id"]], (r["n_lines"], r["n_dropped"])))
+    assert len(documents) > len(expected) and dict(got) == expected
+
+
 def brute_features(text):
     text = text or ""
     words = [w for w in re.split("[\x20\x09-\x0d]+", text) if w]
