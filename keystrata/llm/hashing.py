@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -11,54 +13,94 @@ from pyspark.sql import functions as F
 from .common import tidy
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_A, _B, _C = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_VALUES = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) for b in range(256)], np.uint64)
-_LOWERED = _VALUES[np.frombuffer(LOWER, np.uint8)]
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-
-
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2^64, as many as are needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
+_A, _B, _C, _D = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_WORD = np.ones(256, bool)
+_WORD[[0x20, *range(0x09, 0x0E)]] = False
+#: The first n of 8 bytes.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one at a time.
+LONG = 256
+#: Bytes of short texts that are hashed together.
+TOGETHER = 1 << 17
 
-    def first(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            k = len(self.up)
-            self.up = np.concatenate([self.up, self.up * np.uint64(pow(self.base, k, 1 << 64))])
-            self.down = np.concatenate([self.down, self.down * np.uint64(pow(self.inverse, k, 1 << 64))])
-        return self.up[:n], self.down[:n]
 
+def word_hashes(text: str, lower: bool = False, seed: int = 0) -> np.ndarray:
+    """A hash for each word (run without the bytes 20 and 09-0D)."""
+    return next(hashes_of_texts([text], lower, (seed,)))[0]
 
-_BYTES, _ITEMS, _OTHER = Powers(0x5851F42D4C957F2D), Powers(0x2545F4914F6CDD1D), Powers(0xD1342543DE82EF95)
 
+def hashes_of_texts(texts: list[str], lower: bool = False, seeds: tuple[int, ...] = (0,)) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text its words' hashes, once for each seed. Different seeds give independent hashes.
 
-def word_hashes(text: str, lower: bool = False) -> np.ndarray:
-    """A hash for each word (run without the bytes 20 and 09-0D): a polynomial of its bytes, from running sums over the text."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    inside = np.empty(len(raw) + 2, np.int8)
-    inside[0] = inside[-1] = 0
-    inside[1:-1] = ~_SPACE[raw]
+    8 bytes of a word at a time go through a multiplication and a turn, for all words of many texts side by side.
+    """
+    raws = [t.encode() for t in texts]
+    at = 0
+    while at < len(raws):
+        end, used = at, 0
+        while end < len(raws) and (end == at or used + len(raws[end]) <= TOGETHER):
+            used += len(raws[end])
+            end += 1
+        part, at = raws[at:end], end
+        raw = b"\n".join(part)
+        if lower:
+            raw = raw.translate(LOWER)
+        start, size, hashes = hashed_words(raw, seeds)
+        edge = np.searchsorted(start, np.cumsum([len(r) + 1 for r in part])).tolist()
+        for i, j in zip([0, *edge], edge):
+            yield tuple(h[i:j] for h in hashes)
+
+
+def hashed_words(raw: bytes, seeds: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts, sizes and hashes of the words."""
+    inside = np.empty(len(raw) + 2, bool)
+    inside[0] = inside[-1] = False
+    np.take(_WORD, np.frombuffer(raw, np.uint8), out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[::2], edge[1::2]
-    up, down = _BYTES.first(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((_LOWERED if lower else _VALUES)[raw] * up[:-1], out=sums[1:])
-    h = (sums[end] - sums[start]) * down[start]
-    return mix(h, (end - start).astype(np.uint64))
-
-
-def span_names(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits for each span of items: two polynomials of their hashes."""
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(raw) + 1,), "<u8", raw + bytes(8), strides=(1,))
+    hashes = [np.uint64(seed * 0xD1342543DE82EF95 % 2**64) + size.astype(np.uint64) * _D for seed in seeds]
+    if len(start):
+        k = _stirred(eight[start] & _FIRST[np.minimum(size, 8)])
+        hashes = [_turned(h, k) for h in hashes]
+    some = np.flatnonzero(size > 8)
+    for done in range(8, LONG, 8):
+        if not len(some):
+            break
+        k = _stirred(eight[start[some] + done] & _FIRST[np.minimum(size[some] - done, 8)])
+        for h in hashes:
+            h[some] = _turned(h[some], k)
+        some = some[size[some] > done + 8]
+    for i in some.tolist():
+        for h, seed in zip(hashes, seeds):
+            h[i] = xxhash.xxh64_intdigest(raw[start[i] : start[i] + size[i]], seed=seed)
+    return start, size, [mix(h, h) for h in hashes]
+
+
+def _stirred(k: np.ndarray) -> np.ndarray:
+    k = k * _B
+    return (k << np.uint64(31) | k >> np.uint64(33)) * _A
+
+
+def _turned(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+    h = h ^ k
+    return (h << np.uint64(27) | h >> np.uint64(37)) * _C + _D
+
+
+def span_names(hashes: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each span of items, from two independent hashes of them: runs of powers of two are joined as the bits of the span's size say."""
     out = []
-    for powers, items in ((_ITEMS, h), (_OTHER, mix(h, h ^ _C))):
-        up, down = powers.first(len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(items * up[:-1], out=sums[1:])
-        out.append(mix((sums[end] - sums[start]) * down[start], (end - start).astype(np.uint64)).view(np.int64))
+    for h in hashes:
+        size, power, run, at = end - start, h, 1, start.copy()
+        name = np.full(len(start), _D)
+        while len(size) and run <= size.max():
+            has = np.flatnonzero(size & run)
+            name[has] = mix(name[has], power[at[has]])
+            at[has] += run
+            if 2 * run <= size.max():
+                power = mix(power[: len(power) - run], power[run:])
+            run *= 2
+        out.append(mix(name, size.astype(np.uint64)).view(np.int64))
     return out[0], out[1]
 
 
@@ -225,8 +267,8 @@ def repeated_hashes(docs: DataFrame, hashes_of, buckets: int, values: bool = Fal
 
 
 def bucket_count(docs: DataFrame) -> int:
-    """About four buckets for each input partition, so that a bucket has a fraction of what a partition has."""
-    return min(1 << 15, max(16, 4 * docs.rdd.getNumPartitions()))
+    """About four buckets for each input partition, so that a bucket has a fraction of what a partition has, at any size (2^24 buckets are as many as REST leaves bits for)."""
+    return min(1 << 24, max(16, 4 * docs.rdd.getNumPartitions()))
 
 
 def as_long(docs: DataFrame) -> DataFrame:

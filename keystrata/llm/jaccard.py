@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, release, tidy, written
 from .components import components
-from .hashing import as_long, bucket_count, mix, repeated_hashes, windows, word_hashes
+from .hashing import as_long, bucket_count, hashes_of_texts, mix, repeated_hashes, windows
 
 SHINGLE, NUM, DEN = 5, 75, 100
 #: Shingles in so many sets come last in the order; at most so many of them (8 bytes each) are broadcast, the most frequent. Any order is exact.
@@ -39,8 +39,7 @@ def set_maker(k: int):
     """In a worker: texts to (sorted distinct shingle hashes, signature)."""
 
     def make(texts: list[str]):
-        for text in texts:
-            h = word_hashes(text, lower=True)
+        for (h,) in hashes_of_texts(texts, lower=True):
             if len(h) >= k:
                 s = np.unique(windows(h, k))
             elif len(h):
@@ -199,7 +198,9 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: i
     A-Z are lower-cased; a text's set has its distinct k-word shingles, or its whole sequence if it
     has fewer words. Sets of J >= num/den are linked; a text without words has an empty set and no
     link. Rows that repeat a doc_id are one document with several sets. A row without doc_id takes no part and
-    has a null component. No rows give no rows. Other columns are ignored.
+    has a null component. A very long text is one set of all its shingles. No rows give no rows. Other columns are ignored.
+
+    Shingles are compared by 64-bit hashes of words' 64-bit hashes, so two different ones are taken as equal once in 2^64.
     """
     spark = docs.sparkSession
     texts = as_long(docs)

@@ -8,7 +8,8 @@
 3. A shard streams its segments in order of their first places through a suffix automaton of those
    before. The matching statistic at a word is the length of the longest suffix that
    occurs there; where it reaches 20, the window that ends at that word occurs earlier.
-4. A segment's first place loses the windows that occur earlier; each later copy loses all.
+4. A segment that occurs again is streamed once more when the automaton has it: these statistics stand for all of its later
+   copies. So every removal is one that the automaton found; hashes (two independent ones of 64 bits) only bring copies together.
 
 Broadcasting one automaton to all tasks would grow with the corpus, so a shard's text goes just to the
 task that streams the segments which can match it.
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, release, spare, tidy, written
-from .hashing import REST, as_long, bucket_count, repeated_hashes, span_names, windows, word_hashes
+from .hashing import REST, as_long, bucket_count, hashes_of_texts, repeated_hashes, span_names, windows
 
 WINDOW, ANCHOR = 20, 8
+SEEDS = (0, 1)
 #: Segments (of some 26 words) in a shard on average, and distinct segments of one anchor beyond which its windows are dealt singly.
 SHARD, CROWDED = 3000, 1000
 #: Crowded anchors are broadcast if they are no more than this (9 bytes each).
@@ -124,8 +126,8 @@ def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
 
 def _anchor_maker(window: int, anchor: int):
     def make(texts: list[str]):
-        for text in texts:
-            value, times = np.unique(anchor_runs(word_hashes(text), window, anchor)[2], return_counts=True)
+        for (h,) in hashes_of_texts(texts):
+            value, times = np.unique(anchor_runs(h, window, anchor)[2], return_counts=True)
             yield value, times > 1
 
     return make
@@ -136,14 +138,18 @@ def _segments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         for part in sliced(batches):
-            repeated, out = part.column(3), []
-            for i, (doc, text, bits) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist())):
-                h = word_hashes(text)
-                start, stop, best = anchor_runs(h, window, anchor)
+            repeated, hashes, starts, stops, docs, at = part.column(3), [], [], [], [], 0
+            for i, (doc, both, bits) in enumerate(zip(part.column(0).to_pylist(), hashes_of_texts(part.column(1).to_pylist(), seeds=SEEDS), part.column(2).to_pylist())):
+                start, stop, best = anchor_runs(both[0], window, anchor)
                 hot = np.isin((best >> np.uint64(64 - REST - bits)).astype(np.int64), np.asarray(repeated[i].values))
-                start, stop = start[hot], stop[hot]
-                out.append((*span_names(h, start, stop + window - 1), np.full(len(start), doc), start.astype(np.int32), (stop - start).astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["s1", "s2", "doc", "start", "wins"])
+                hashes.append(both)
+                starts.append(start[hot] + at)
+                stops.append(stop[hot] + at)
+                docs.append(np.tile(np.array([[doc, at]], np.int64), (len(starts[-1]), 1)))
+                at += len(both[0])
+            start, stop, docs = np.concatenate(starts), np.concatenate(stops), np.concatenate(docs)
+            names = span_names(tuple(np.concatenate(h) for h in zip(*hashes)), start, stop + window - 1)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(docs[:, 0]), pa.array((start - docs[:, 1]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["s1", "s2", "doc", "start", "wins"])
 
     return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(tidy(run), "s1 bigint, s2 bigint, doc bigint, start int, wins int")
 
@@ -153,41 +159,49 @@ def _with_words(first: DataFrame, texts: DataFrame, window: int, anchor: int) ->
 
     def run(batches):
         for part in sliced(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for i, (doc, text) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist())):
-                s1, s2, start, wins = (np.asarray(x) for x in part.column(2)[i].values.flatten())
-                words, h = words_of(text), word_hashes(text)
-                ok = start + wins + window - 1 <= len(words)  # another text of the same id may be shorter, or another
-                s1, s2, start, wins = s1[ok], s2[ok], start[ok], wins[ok]
-                a, b = span_names(h, start, start + wins + window - 1)
-                ok = (a == s1) & (b == s2)
-                s1, s2, start, wins = s1[ok], s2[ok], start[ok], wins[ok]
-                run_start, _, best = anchor_runs(h, window, anchor)
-                own = best[np.searchsorted(run_start, start, side="right") - 1].view(np.int64)
-                for col, v in zip(out, (s1, s2, own, [doc] * len(s1), start, wins)):
-                    col.extend(v.tolist() if isinstance(v, np.ndarray) else v)
-                out[6] += [b" ".join(words[a : a + n + window - 1]).decode() for a, n in zip(start.tolist(), wins.tolist())]
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["s1", "s2", "anchor", "doc", "start", "wins", "words"])
-
-    wanted = first.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("s1", "s2", "start", "wins")).alias("wanted"))
+            texts, at, hashes, rows = part.column(1).to_pylist(), 0, [], []
+            for i, (doc, text, both) in enumerate(zip(part.column(0).to_pylist(), texts, hashes_of_texts(texts, seeds=SEEDS))):
+                s1, s2, start, wins, again = (x.to_numpy(zero_copy_only=False) for x in part.column(2)[i].values.flatten())
+                ok = start + wins + window - 1 <= len(both[0])  # another text of the same id may be shorter, or another
+                run_start, _, best = anchor_runs(both[0], window, anchor)
+                own = best[np.searchsorted(run_start, start, side="right") - 1].view(np.int64) if len(best) else np.zeros(len(start), np.int64)
+                rows.append(tuple(x[ok] for x in (s1, s2, own, np.full(len(s1), doc), start, wins, again, start + at, np.full(len(s1), i))))
+                hashes.append(both)
+                at += len(both[0])
+            s1, s2, own, docs, start, wins, again, place, which = (np.concatenate(x) for x in zip(*rows))
+            a, b = span_names(tuple(np.concatenate(h) for h in zip(*hashes)), place, place + wins + window - 1)
+            ok = np.flatnonzero((a == s1) & (b == s2))
+            words, last, spans = [], -1, []
+            for k in ok.tolist():
+                if which[k] != last:
+                    last = which[k]
+                    words = words_of(texts[last])
+                spans.append(b" ".join(words[start[k] : start[k] + wins[k] + window - 1]).decode())
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*(x[ok] for x in (s1, s2, own, docs, start, wins, again)), spans], kinds)], names=["s1", "s2", "anchor", "doc", "start", "wins", "again", "words"])
+
+    wanted = first.groupBy(F.col("doc").alias("of")).agg(F.collect_list(F.struct("s1", "s2", "start", "wins", "again")).alias("wanted"))
     keyed = texts.select(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc"), "text")
-    return keyed.join(wanted, keyed["doc"] == wanted["of"]).select("doc", "text", "wanted").mapInArrow(tidy(run), "s1 bigint, s2 bigint, anchor bigint, doc bigint, start int, wins int, words string")
+    return keyed.join(wanted, keyed["doc"] == wanted["of"]).select("doc", "text", "wanted").mapInArrow(tidy(run), "s1 bigint, s2 bigint, anchor bigint, doc bigint, start int, wins int, again boolean, words string")
 
 
 def _streamed(units: DataFrame, window: int) -> DataFrame:
-    """units: shard, s1, s2, j, doc, start, words -> s1, s2, j and earlier: for each window of the unit, does it occur in one before?"""
+    """units: shard, s1, s2, j, doc, start, words, again -> s1, s2, j, earlier and later.
+
+    earlier: for each window of the unit, does it occur in a unit before? later: for a unit with again, did all its windows match when it was streamed once more?
+    """
 
     def stream(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc", "ascending"), ("start", "ascending"), ("s1", "ascending"), ("s2", "ascending")])
-        automaton, out = SuffixAutomaton(), []
-        for words in table.column("words").to_pylist():
+        automaton, out, later = SuffixAutomaton(), [], []
+        for words, again in zip(table.column("words").to_pylist(), table.column("again").to_pylist()):
             words = words.encode().split(b" ")
             out.append([n >= window for n in automaton.statistics(words)[window - 1 :]])
             automaton.insert(words)
-        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "j": table.column("j"), "earlier": pa.array(out, pa.list_(pa.bool_()))})
+            later.append(again and all(n >= window for n in automaton.statistics(words)[window - 1 :]))
+        return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "j": table.column("j"), "earlier": pa.array(out, pa.list_(pa.bool_())), "later": pa.array(later, pa.bool_())})
 
-    return units.select("shard", "s1", "s2", "j", "doc", "start", "words").groupBy("shard").applyInArrow(stream, "s1 bigint, s2 bigint, j int, earlier array<boolean>")
+    return units.select("shard", "s1", "s2", "j", "doc", "start", "words", "again").groupBy("shard").applyInArrow(stream, "s1 bigint, s2 bigint, j int, earlier array<boolean>, later boolean")
 
 
 def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -203,7 +217,7 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     segments = written(_segments(marked, window, anchor), "segments")
     discard(flags)
     release(spark)
-    first = segments.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("wins").alias("wins")).select("s1", "s2", "at.doc", "at.start", "wins")
+    first = segments.groupBy("s1", "s2").agg(F.min(F.struct("doc", "start")).alias("at"), F.first("wins").alias("wins"), (F.count(F.lit(1)) > 1).alias("again")).select("s1", "s2", "at.doc", "at.start", "wins", "again")
     first = written(first, "first")
     release(spark)
     once = written(_with_words(first, texts, window, anchor), "distinct")
@@ -217,19 +231,23 @@ def removed_windows(texts: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     single = dealt.where("crowded").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("wins") - 1)))
     single = single.withColumn("words", F.array_join(F.slice(split, F.col("j") + 1, F.lit(window)), " ")).withColumn("start", F.col("start") + F.col("j"))
     # equal windows of a crowded anchor fold again, so a window that is everywhere is one row of its shard
-    alone = single.groupBy("words").agg(F.min(F.struct("doc", "start", "s1", "s2", "j")).alias("m")).select("words", "m.*").withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
-    told = written(_streamed(whole, window).unionByName(_streamed(alone, window)), "told")
-    later = single.join(alone.select("s1", "s2", "j", F.lit(True).alias("is_first")), ["s1", "s2", "j"], "left").where("is_first IS NULL").select("s1", "s2", "j", F.array(F.lit(True)).alias("earlier"))
-    earlier = told.unionByName(later).groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("j", "earlier"))).alias("e")).select("s1", "s2", F.flatten(F.transform("e", lambda x: x["earlier"])).alias("earlier"))
+    alone = single.groupBy("words").agg(F.min(F.struct("doc", "start", "s1", "s2", "j")).alias("m"), (F.max("again") | (F.count(F.lit(1)) > 1)).alias("again")).select("words", "m.*", "again").withColumn("shard", F.pmod(F.xxhash64("words"), F.lit(shards)))
+    told = written(_streamed(whole, window), "told")
+    windows_told = written(alone.drop("again", "shard").join(_streamed(alone, window), ["s1", "s2", "j"]).select("words", F.col("s1").alias("f1"), F.col("s2").alias("f2"), F.col("j").alias("fj"), "earlier", "later"), "told")
+    # the first place of a window has its earlier ones, all others what it found when streamed once more
+    here = (F.col("s1") == F.col("f1")) & (F.col("s2") == F.col("f2")) & (F.col("j") == F.col("fj"))
+    apart = single.join(windows_told, "words").select("s1", "s2", "j", F.when(here, F.col("earlier")[0]).otherwise(F.col("later")).alias("gone"), "later")
+    apart = apart.groupBy("s1", "s2").agg(F.array_sort(F.collect_list(F.struct("j", "gone"))).alias("e"), F.every("later").alias("later")).select("s1", "s2", F.transform("e", lambda x: x["gone"]).alias("earlier"), "later")
+    earlier = told.select("s1", "s2", "earlier", "later").unionByName(apart)
     # written, so that segments that are in very many documents can be split in the join
     fate = written(first.select("s1", "s2", F.col("doc").alias("d0"), F.col("start").alias("a0")).join(earlier, ["s1", "s2"]), "fate")
     release(spark)
     at_first = (F.col("doc") == F.col("d0")) & (F.col("start") == F.col("a0"))
     met = segments.join(fate, ["s1", "s2"])
-    copies = met.where(~at_first).select("doc", "start", F.col("wins").alias("n"))
+    copies = met.where(~at_first & F.col("later")).select("doc", "start", F.col("wins").alias("n"))
     some = met.where(at_first & F.array_contains("earlier", True)).select("doc", "start", F.posexplode("earlier").alias("j", "gone")).where("gone").select("doc", (F.col("start") + F.col("j")).alias("start"), F.lit(1).alias("n"))
     out = written(copies.unionByName(some).groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "runs")
-    for used in (segments, first, once, told, fate):
+    for used in (segments, first, once, crowded, told, windows_told, fate):
         discard(used)
     release(spark)
     return out
@@ -242,7 +260,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
     covers it also starts earlier: in a smaller doc_id, or before it in the same one; windows are judged on the
     input. A null or empty text has no words. Rows that repeat a doc_id are one document: they
     are judged alike and equal rows don't remove each other; a null doc_id precedes all
-    others. Texts in which nothing goes are left as they are. names has the names of the three new
+    others. A very long text is one document like any other: its segments go to many shards. No rows give no rows. Texts in which nothing goes are left as they are. names has the names of the three new
     columns; columns of those names are replaced.
     """
     runs = removed_windows(as_long(docs), window)
@@ -250,7 +268,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, names: tuple[str, st
     runs = runs.select(F.col("doc").alias(key), F.col("runs").alias(gone))
     joined = docs.join(runs, F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")) == F.col(key), "left")
 
-    joined = joined.drop(key, *[c for c in docs.columns if c.lower() in names])
+    joined = joined.drop(key, *[c for c in docs.columns if c.lower() in {n.lower() for n in names}])
     fields = [f for f in joined.schema if f.name != gone]
     at_text, at_gone = joined.columns.index("text"), joined.columns.index(gone)
 
