@@ -15,8 +15,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, keep: bool = True) -> DataFra
     """Encode every text and decode its ids again: doc_id, n_tokens, ids_sha256, decoded_sha256 and, with keep, ids (array<int>) and decoded.
 
     A null or empty text has no tokens. Rows are independent: repeated rows give repeated results, a
-    null doc_id is passed through, other columns are ignored. An added token's string in a text gets
-    its id, as the tokenizers library does.
+    null doc_id is passed through, other columns are ignored; no rows give no rows. A very long text is encoded whole, by
+    itself. An added token's string in a text gets its id, as the tokenizers library does.
     """
 
     def run(batches):

@@ -203,7 +203,7 @@ def read_tokens(listing: DataFrame, folder: str, keep_ids: bool = False) -> Data
 def token_files(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 1, folder: str | None = None, keep_ids: bool = False) -> DataFrame:
     """Write docs' token files to folder (default: a new one in the shared folder) and read them back.
 
-    A null or empty text is its end id alone. Rows that repeat a doc_id are stored each, side by
+    A null or empty text is its end id alone; a very long one stays whole in one file. Rows that repeat a doc_id are stored each, side by
     side; a null doc_id precedes all others; other columns are ignored; no rows give no files.
     """
     folder = folder or shared_path(docs.sparkSession, "tokens")

@@ -114,8 +114,8 @@ def place(pieces: DataFrame, capacity: int = 1024, group: int = 100_000) -> Data
 def pack(docs: DataFrame, tokenizer: str, kind: str = "byte", end_id: int = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
     """Pack all texts into sequences of at most `capacity` tokens: one row per piece.
 
-    A null or empty text is its end id alone, one piece of one token. Repeated rows are packed
-    each; a null doc_id is passed through; other columns are ignored; no rows give no rows.
+    A null or empty text is its end id alone, one piece of one token; a very long one is cut into pieces of `capacity`.
+    Repeated rows are packed each; a null doc_id is passed through; other columns are ignored; no rows give no rows.
     """
     pieces = written(pieces_of(docs, tokenizer, kind, end_id, capacity, keep_ids), "pieces")
     order = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * keep_ids
