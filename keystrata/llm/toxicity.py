@@ -35,6 +35,8 @@ LENGTH, SPAN, DECAY = 4, 8, 0.6
 LETTERS = 32
 #: Labelled documents that training reads, at most about so many of each kind, drawn by a hash of the id.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Of that sample the machine is fitted on at most so many positive units (the most significant ones) and clean units (half of them the
+#: most common, half drawn by hash), and in each round on HARD more clean ones, those of all with the greatest margins.
 LANDMARKS, POSITIVES, NEGATIVES, HARD, ROUNDS = 192, 2000, 8000, 2000, 3
 #: False discoveries among positive units; ridge of the machine.
 RATE, RIDGE = 0.05, 1.0
@@ -62,7 +64,7 @@ def letters(token: str) -> str:
 
 
 def parts(word: str) -> list[str]:
-    if len(word) < 3:
+    if len(word) < 2:
         return []
     return [word] if len(word) <= PART else [word[i : i + PART] for i in range(0, len(word) - STEP, STEP)]
 
@@ -80,7 +82,8 @@ def _laid_out(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all words, each between its marks and with SPAN blanks (-1) behind; places of symbols; words' sizes with marks."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int32)
-    code = np.where((code >= 97) & (code <= 122), code - 97, 26 + code % 4)
+    # accented letters share four symbols; letters of other scripts are spread over those of a to z, so that their words differ as much as Latin ones
+    code = np.where((code >= 97) & (code <= 122), code - 97, np.where(code < 0x250, 26 + code % 4, code * 7 % 26))
     starts = np.cumsum(sizes + SPAN) - sizes - SPAN
     flat = np.full(int((sizes + SPAN).sum()), -1, np.int32)
     before = np.cumsum(sizes - 2) - (sizes - 2)
@@ -293,7 +296,7 @@ class Detector:
         sums = stats.agg(F.sum("t").alias("t"), F.sum("n").alias("n")).first()
         rate = min(0.9, max(1e-6, (sums["t"] or 0) / max(1, sums["n"] or 0)))
         n_tests = stats.where("t >= 2").count()
-        test = stats.where("t >= 2").toArrow().to_pandas()  # bounded by the sample
+        test = stats.where("t >= 2").toArrow().to_pandas()  # at most the units of a bounded sample
         positive: list[str] = []
         if len(test):
             test["p"] = _log_tail(test["t"].to_numpy(float), test["n"].to_numpy(float), rate)
@@ -353,9 +356,10 @@ def train_detector(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
     """Per row: doc_id, held_out, score (0 to 1) and predicted (1 if score >= 0.3).
 
-    Rows are scored by their text alone; a null or empty text has no units and scores low. Repeated
+    Rows are scored by their text alone; a null or empty text has no units and scores low. A very long text is scored whole: its
+    distinct tokens are its units. Repeated
     rows score alike; a null doc_id has no label and counts as empty text for held_out. With no labels of
-    either kind all scores are the same low one. Other columns are ignored.
+    either kind all scores are the same low one. Other columns are ignored. No rows give no rows.
     """
     detector = train_detector(docs, labels, folds, held)
     rows = docs.select("doc_id", whole_text().alias("text"), (doc_number() % folds == held).alias("held_out"))
