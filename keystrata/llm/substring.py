@@ -86,6 +86,16 @@ class SuffixAutomaton:
         return out
 
 
+    def has(self, sequence: list) -> bool:
+        """Does it occur whole? Then its statistics are 1, 2, 3 and so on, and no suffix link is followed."""
+        nxt, at = self.next, 0
+        for c in sequence:
+            at = nxt[at].get(c)
+            if at is None:
+                return False
+        return True
+
+
 def sliced(batches, rows: int = 256):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -97,20 +107,33 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().split()
 
 
-def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows side by side with one anchor (the leftmost place of their least hash): first window, end, anchor's hash."""
+def anchor_runs(h: np.ndarray, sizes: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows side by side with one anchor (the leftmost place of their least hash), in documents whose words' hashes stand one after another: first window, end, anchor's hash, document."""
+    none = np.zeros(0, np.int64)
     a = windows(h, anchor)
     span = window - anchor + 1
     n = len(a) - span + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), a[:0]
+        return none, none, a[:0], none
     best, size = a, 1
     while 2 * size <= span:
         best = np.minimum(best[: len(best) - size], best[size:])
         size *= 2
     best = np.minimum(best[:n], best[span - size : span - size + n])
-    start = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-    end = np.append(start[1:], n)
+    # a document's windows, and a run's, end before the next one's begin
+    first = np.cumsum(sizes) - sizes
+    has = np.flatnonzero(sizes >= window)
+    edge = np.zeros(n + 1, bool)
+    edge[1:n] = best[1:] != best[:-1]
+    edge[first[has]] = True
+    edge[first[has] + sizes[has] - window + 1] = True
+    inside = np.zeros(n + 1, np.int8)
+    inside[first[has]] += 1
+    inside[first[has] + sizes[has] - window + 1] -= 1
+    inside = np.cumsum(inside).astype(bool)
+    cut = np.flatnonzero(edge)
+    start = cut[inside[cut]]
+    end = cut[np.searchsorted(cut, start, side="right")] if len(start) else start
     runs, steps = [], np.arange(span)
     while len(start):
         place = start + (a[start[:, None] + steps] == best[start][:, None]).argmax(1)
@@ -118,17 +141,31 @@ def anchor_runs(h: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np
         runs.append((start, stop))
         more = stop < end  # the same hash again, further right
         start, end = stop[more], end[more]
+    if not runs:
+        return none, none, a[:0], none
     start, stop = (np.concatenate(x) for x in zip(*runs))
     order = np.argsort(start, kind="stable")
     start, stop = start[order], stop[order]
-    return start, stop, best[start]
+    return start, stop, best[start], np.searchsorted(first, start, side="right") - 1
+
+
+def _together(texts: list[str], seeds: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashes of the words of all texts, once for each seed, and how many each text has."""
+    each = list(hashes_of_texts(texts, seeds=seeds))
+    return [np.concatenate(x) for x in zip(*each)], np.array([len(x[0]) for x in each], np.int64)
 
 
 def _anchor_maker(window: int, anchor: int):
     def make(texts: list[str]):
-        for (h,) in hashes_of_texts(texts):
-            value, times = np.unique(anchor_runs(h, window, anchor)[2], return_counts=True)
-            yield value, times > 1
+        (h,), sizes = _together(texts, SEEDS[:1])
+        _, _, best, doc = anchor_runs(h, sizes, window, anchor)
+        order = np.lexsort((best, doc))
+        best, doc = best[order], doc[order]
+        new = np.flatnonzero(np.append(True, (best[1:] != best[:-1]) | (doc[1:] != doc[:-1]))) if len(best) else np.zeros(0, np.int64)
+        times = np.diff(np.append(new, len(best)))
+        edges = np.searchsorted(doc[new], np.arange(len(texts) + 1)).tolist()
+        for i, j in zip(edges[:-1], edges[1:]):
+            yield best[new[i:j]], times[i:j] > 1
 
     return make
 
@@ -138,18 +175,17 @@ def _segments(marked: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         for part in sliced(batches):
-            repeated, hashes, starts, stops, docs, at = part.column(3), [], [], [], [], 0
-            for i, (doc, both, bits) in enumerate(zip(part.column(0).to_pylist(), hashes_of_texts(part.column(1).to_pylist(), seeds=SEEDS), part.column(2).to_pylist())):
-                start, stop, best = anchor_runs(both[0], window, anchor)
-                hot = np.isin((best >> np.uint64(64 - REST - bits)).astype(np.int64), np.asarray(repeated[i].values))
-                hashes.append(both)
-                starts.append(start[hot] + at)
-                stops.append(stop[hot] + at)
-                docs.append(np.tile(np.array([[doc, at]], np.int64), (len(starts[-1]), 1)))
-                at += len(both[0])
-            start, stop, docs = np.concatenate(starts), np.concatenate(stops), np.concatenate(docs)
-            names = span_names(tuple(np.concatenate(h) for h in zip(*hashes)), start, stop + window - 1)
-            yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(docs[:, 0]), pa.array((start - docs[:, 1]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["s1", "s2", "doc", "start", "wins"])
+            hashes, sizes = _together(part.column(1).to_pylist(), SEEDS)
+            start, stop, best, doc = anchor_runs(hashes[0], sizes, window, anchor)
+            hot, repeated = np.zeros(len(start), bool), part.column(3)
+            edges = np.searchsorted(doc, np.arange(len(sizes) + 1)).tolist()
+            for k, (i, j, bits) in enumerate(zip(edges[:-1], edges[1:], part.column(2).to_pylist())):
+                if j > i:
+                    hot[i:j] = np.isin((best[i:j] >> np.uint64(64 - REST - bits)).astype(np.int64), np.asarray(repeated[k].values))
+            start, stop, doc = start[hot], stop[hot], doc[hot]
+            names = span_names(hashes, start, stop + window - 1)
+            ids, first = np.array(part.column(0).to_pylist(), np.int64), np.cumsum(sizes) - sizes
+            yield pa.RecordBatch.from_arrays([*map(pa.array, names), pa.array(ids[doc]), pa.array((start - first[doc]).astype(np.int32)), pa.array((stop - start).astype(np.int32))], names=["s1", "s2", "doc", "start", "wins"])
 
     return marked.select("doc_id", "text", "bits", "repeated").mapInArrow(tidy(run), "s1 bigint, s2 bigint, doc bigint, start int, wins int")
 
@@ -159,17 +195,17 @@ def _with_words(first: DataFrame, texts: DataFrame, window: int, anchor: int) ->
 
     def run(batches):
         for part in sliced(batches):
-            texts, at, hashes, rows = part.column(1).to_pylist(), 0, [], []
-            for i, (doc, text, both) in enumerate(zip(part.column(0).to_pylist(), texts, hashes_of_texts(texts, seeds=SEEDS))):
+            texts, rows = part.column(1).to_pylist(), []
+            hashes, sizes = _together(texts, SEEDS)
+            first = np.cumsum(sizes) - sizes
+            for i, doc in enumerate(part.column(0).to_pylist()):
                 s1, s2, start, wins, again = (x.to_numpy(zero_copy_only=False) for x in part.column(2)[i].values.flatten())
-                ok = start + wins + window - 1 <= len(both[0])  # another text of the same id may be shorter, or another
-                run_start, _, best = anchor_runs(both[0], window, anchor)
-                own = best[np.searchsorted(run_start, start, side="right") - 1].view(np.int64) if len(best) else np.zeros(len(start), np.int64)
-                rows.append(tuple(x[ok] for x in (s1, s2, own, np.full(len(s1), doc), start, wins, again, start + at, np.full(len(s1), i))))
-                hashes.append(both)
-                at += len(both[0])
-            s1, s2, own, docs, start, wins, again, place, which = (np.concatenate(x) for x in zip(*rows))
-            a, b = span_names(tuple(np.concatenate(h) for h in zip(*hashes)), place, place + wins + window - 1)
+                ok = start + wins + window - 1 <= sizes[i]  # another text of the same id may be shorter, or another
+                rows.append(tuple(x[ok] for x in (s1, s2, np.full(len(s1), doc), start, wins, again, start + first[i], np.full(len(s1), i))))
+            s1, s2, docs, start, wins, again, place, which = (np.concatenate(x) for x in zip(*rows))
+            least = windows(hashes[0], anchor)
+            own = least[place[:, None] + np.arange(window - anchor + 1)].min(1).view(np.int64) if len(place) else s1
+            a, b = span_names(hashes, place, place + wins + window - 1)
             ok = np.flatnonzero((a == s1) & (b == s2))
             words, last, spans = [], -1, []
             for k in ok.tolist():
@@ -188,7 +224,7 @@ def _with_words(first: DataFrame, texts: DataFrame, window: int, anchor: int) ->
 def _streamed(units: DataFrame, window: int) -> DataFrame:
     """units: shard, s1, s2, j, doc, start, words, again -> s1, s2, j, earlier and later.
 
-    earlier: for each window of the unit, does it occur in a unit before? later: for a unit with again, did all its windows match when it was streamed once more?
+    earlier: for each window of the unit, does it occur in a unit before? later: for a unit with again, did it match whole when it was streamed once more?
     """
 
     def stream(table: pa.Table) -> pa.Table:
@@ -198,7 +234,7 @@ def _streamed(units: DataFrame, window: int) -> DataFrame:
             words = words.encode().split(b" ")
             out.append([n >= window for n in automaton.statistics(words)[window - 1 :]])
             automaton.insert(words)
-            later.append(again and all(n >= window for n in automaton.statistics(words)[window - 1 :]))
+            later.append(again and automaton.has(words))
         return pa.table({"s1": table.column("s1"), "s2": table.column("s2"), "j": table.column("j"), "earlier": pa.array(out, pa.list_(pa.bool_())), "later": pa.array(later, pa.bool_())})
 
     return units.select("shard", "s1", "s2", "j", "doc", "start", "words", "again").groupBy("shard").applyInArrow(stream, "s1 bigint, s2 bigint, j int, earlier array<boolean>, later boolean")

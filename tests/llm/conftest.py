@@ -17,6 +17,8 @@ def rows():
         out.append((i, text, lang, "s", None if text is None else len(text), 0.5, "x", 1, 7, "r", 3, "t"))
 
     texts = [None, "", " ", "\n\n", "one", "Two words", passage, passage.upper(), passage, f"{passage} and more {passage}", f"x\n{LINE}\ny", f"  {LINE.upper()}\t\nz", f"{LINE}\n{LINE}", "w " * 3000 + passage, "z" * 5000, "\x1c 　a\x85b  c", "tie tie tie tie tie", " ".join(vocabulary[:40]), " ".join(vocabulary[:39] + ["other"]), "# * $ | idiot <|endoftext|> x"]
+    # very long: lines of words that come round again, far beyond all others
+    texts.append("\n".join(" ".join(f"long{i * k % 4001}" for i in range(40)) for k in range(1, 700)))
     for i, t in enumerate(texts):
         add(i * 3, t, ["en", "de", None][i % 3])
     for i in range(100, 130):

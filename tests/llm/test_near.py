@@ -118,6 +118,67 @@ def test_suffix_automaton():
         s = "".join(rng.choice("abc") for _ in range(15))
         expected = [max(n for n in range(i + 2) if any(s[i + 1 - n : i + 1] in k for k in known)) for i in range(len(s))]
         assert a.statistics(list(s)) == expected
+        assert a.has(list(s)) == any(s in k for k in known) and a.has([])
+
+
+def thue_morse(n):
+    """Two words of n letters that agree under any polynomial hash modulo a power of two, if n is large enough."""
+    word = [0]
+    while len(word) < n:
+        word += [1 - x for x in word]
+    return "".join("ab"[x] for x in word), "".join("ba"[x] for x in word)
+
+
+def test_words_that_polynomials_confuse(spark):
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows = []
+    for n in (512, 1024, 4096):
+        for k, odd in enumerate(thue_morse(n)):
+            rows.append((10 * n + k, " ".join(words[:10] + [odd] + words[10:19])))
+    rows += [(1, " ".join(words)), (2, " ".join(words)), (3, "")]
+    hashes = [h[0] for h in hashing.hashes_of_texts([w for n in (64, 512, 1024, 4096) for w in thue_morse(n)])]
+    assert len({int(h[0]) for h in hashes}) == 8
+    got = dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in got), key=str) == brute_substrings(rows, 20)
+    got = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got), key=str) == brute_jaccard(rows)
+
+
+def test_hashes_of_many_texts_are_those_of_each():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab \n\x0bÉé\x1cZ") for _ in range(rng.randrange(0, 60))) for _ in range(200)] + ["x" * 5000, "", " "]
+    for lower in (False, True):
+        low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+        seen = {}
+        for text, (a, b) in zip(texts, hashing.hashes_of_texts(texts, lower, (0, 1))):
+            words = (text.encode().translate(low) if lower else text.encode()).split()
+            assert len(a) == len(b) == len(words)
+            for w, x, y in zip(words, a.tolist(), b.tolist()):
+                assert seen.setdefault(w, (x, y)) == (x, y) and x != y
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_anchor_runs_of_many_documents():
+    """Every window has the leftmost place of its least hash as its anchor, and no run crosses documents."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice([0, 3, 19, 20, 21, 60]))) for _ in range(40)] + ["r " * 90]
+    (h,), sizes = substring._together(texts, (0,))
+    start, stop, best, doc = substring.anchor_runs(h, sizes, 20, 8)
+    covered = {}
+    for i, j, x, d in zip(start.tolist(), stop.tolist(), best.tolist(), doc.tolist()):
+        covered |= {k: (i, x, d) for k in range(i, j)}
+    at, anchors = 0, hashing.windows(h, 8).tolist()
+    for d, n in enumerate(sizes.tolist()):
+        last = None
+        for k in range(at, at + n - 19):
+            least = min(anchors[k : k + 13])
+            place = anchors.index(least, k)
+            run, x, owner = covered.pop(k)
+            assert x == least and owner == d and (run == last[0] if last and last[1] == place else run == k)
+            last = (run, place)
+        at += n
+    assert not covered
 
 
 def brute_substrings(rows, window):
