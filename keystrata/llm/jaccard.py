@@ -28,7 +28,9 @@ SHINGLE, NUM, DEN = 5, 75, 100
 #: Shingles in so many sets come last in the order; at most so many of them (8 bytes each) are broadcast, the most frequent. Any order is exact.
 FREQUENT, FREQUENT_MOST = 48, 1_000_000
 #: Bits of a set's bitmap.
-BITS = 1024
+BITS = 2048
+#: First places of prefixes that are compared to tell whether two sets have met before.
+EARLY = 16
 #: Turns in which each set meets one pivot, before blocks are compared.
 STARS = 3
 #: Pairs of one set that are verified by one task.
@@ -170,14 +172,23 @@ def _rep_links(sets: DataFrame, num: int, den: int) -> DataFrame:
     placed = written(placed.join(far, "rep", "left").withColumn("far", F.coalesce("far", F.lit(0.0))), "placed")
     reach = blocks.join(far, "rep").groupBy("root").agg(F.max("far").alias("radius"))
     # blocks that meet in a list where their ranges of sizes and positions leave a chance
-    ranges = placed.groupBy("token", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"))
-    # blocks of one set in the list carry its bitmap, for a bound on what two sets can have in common
-    ranges = ranges.join(sets.select("rep", "bits"), "rep", "left").withColumn("bits", F.when(F.col("c") == 1, F.col("bits"))).drop("rep", "c")
+    ranges = placed.groupBy("token", "root").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.count(F.lit(1)).alias("c"), F.min("rep").alias("rep"), F.max("far").alias("slack"))
+    # each block brings a bitmap: that of its set, if it has one in the list, or its root's, from which its sets in the list are no farther than slack
+    alone = F.col("c") == 1
+    ranges = ranges.withColumn("rep", F.when(alone, F.col("rep")).otherwise(F.col("root"))).withColumn("slack", F.when(alone, 0.0).otherwise(F.col("slack")))
+    ranges = ranges.join(sets.select("rep", F.col("n").alias("size"), "bits"), "rep")
+    # two sets, each alone of its block in a list, that share a shingle before it have met in that one's list: sets bring the EARLY first shingles of their prefixes
+    single = sets.groupBy("rep").count().where("count = 1").select("rep")
+    heads = entries.where(F.col("pos") < EARLY).join(single, "rep", "left_semi").groupBy("rep").agg(F.collect_list(F.struct("pos", "token")).alias("head"))
+    early = F.when(F.col("c") == 1, F.filter("head", lambda h: h["pos"] < F.col("n0") - F.col("rest"))["token"])
+    ranges = ranges.join(heads, "rep", "left").withColumn("early", early).drop("rep", "c", "head")
     x, y = ranges.alias("x"), ranges.alias("y")
+    # sets that differ in so many tokens at least are 2 apart / (total + apart) from each other at least
     apart = sum((F.bit_count(F.get("x.bits", F.lit(i)).bitwiseXOR(F.get("y.bits", F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
-    total = F.col("x.n0") + F.col("y.n0")
-    may = F.col("x.bits").isNull() | F.col("y.bits").isNull() | ((num + den) * (total - apart) >= 2 * num * total)
-    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (den * F.col("x.n1") >= num * F.col("y.n0")) & (den * F.col("y.n1") >= num * F.col("x.n0")) & ((num + den) * F.least("x.rest", "y.rest") >= num * (F.col("x.n0") + F.col("y.n0"))) & may)
+    total = F.col("x.size") + F.col("y.size")
+    may = 2 * apart <= (1 - num / den + F.col("x.slack") + F.col("y.slack") + 1e-9) * (total + apart)
+    fresh = F.coalesce(~F.arrays_overlap("x.early", "y.early"), F.lit(True))
+    meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & (den * F.col("x.n1") >= num * F.col("y.n0")) & (den * F.col("y.n1") >= num * F.col("x.n0")) & ((num + den) * F.least("x.rest", "y.rest") >= num * (F.col("x.n0") + F.col("y.n0"))) & may & fresh)
     meet = written(meet.select("x.token", F.col("x.root").alias("a"), F.col("y.root").alias("b")), "meet")
     near = _verified(meet.select("a", "b").distinct(), sets, "roots")
     ra, rb = reach.select(F.col("root").alias("a"), F.col("radius").alias("ra")), reach.select(F.col("root").alias("b"), F.col("radius").alias("rb"))
