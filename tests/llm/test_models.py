@@ -3,7 +3,7 @@
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -31,6 +31,80 @@ def test_large_counts_stay_in_bounds():
             assert (t >= 1).all() and (t <= c).all()
 
 
+def ways(c, d):
+    """Seatings of c customers at t tables, by the recurrence: the last one opens a table or joins one of t with c - 1 others."""
+    out = {1: 1.0}
+    for n in range(1, c):
+        out = {t: out.get(t - 1, 0) + (n - t * d) * out.get(t, 0) for t in range(1, n + 2)}
+    return out
+
+
+def test_a_restaurant_has_its_exact_distribution():
+    """Dishes drawn in turn give the joint distribution of tables that the Pitman-Yor process has, listed in full."""
+    d, theta, counts, parent, chains = lm.DISCOUNT, lm.STRENGTH, (4, 11, 2), (0.3, 0.05, 0.2), 30_000
+    exact = Counter()
+    seatings = [ways(c, d) for c in counts]
+    for t in ((x, y, z) for x in seatings[0] for y in seatings[1] for z in seatings[2]):
+        exact[t] = math.prod(w[k] * p**k for w, k, p in zip(seatings, t, parent)) * math.prod(theta + d * i for i in range(sum(t)))
+    whole, rng = sum(exact.values()), np.random.default_rng(3)
+    tables = np.tile(np.array(counts, float)[:, None], (1, chains))
+    for _ in range(30):
+        for k, c in enumerate(counts):
+            others = tables.sum(0) - tables[k]
+            tables[k] = lm.draw_tables(np.full(chains, c), (theta + d * others) * parent[k], rng.random(chains), others)
+    drawn = Counter(map(tuple, tables.T.astype(int).tolist()))
+    assert max(abs(drawn[t] / chains - p / whole) for t, p in exact.items()) < 0.01
+    # a great dish alone, where the mode is far from that without its own tables' weight
+    c = 400
+    t = lm.draw_tables(np.full(4000, c), np.full(4000, theta * 0.5), rng.random(4000), np.zeros(4000))
+    logs = [math.lgamma(2 * c - k) - math.lgamma(c - k + 1) - math.lgamma(k) + k * math.log(4) + k * math.log(0.5) + sum(math.log(theta + d * i) for i in range(k)) for k in range(1, c + 1)]
+    weight = np.exp(np.array(logs) - max(logs))
+    mean = (weight * np.arange(1, c + 1)).sum() / weight.sum()
+    assert abs(t.mean() - mean) < 0.02 * mean
+
+
+@pytest.mark.parametrize("direct", [3, 200_000])
+def test_score_against_plain_sums(spark, monkeypatch, direct):
+    """In a corpus without a pair that occurs twice nothing is drawn for pairs: each score follows from the parents' tables, token by token."""
+    monkeypatch.setattr(lm, "DIRECT", direct)
+    monkeypatch.setattr(lm, "FREQUENT", 4)
+    monkeypatch.setattr(lm, "ENDINGS", 3)
+    models, init = [], lm.Model.__init__
+    monkeypatch.setattr(lm.Model, "__init__", lambda self, docs: (models.append(self), init(self, docs))[1])
+    rng, seen, rows = random.Random(5), set(), []
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    for i in range(80):
+        out, last = [], None
+        for w in rng.sample(words, 25):
+            if (last, w) not in seen and (last is not None or not any(r[1].split()[:1] == [w] for r in rows)):
+                out.append(w)
+                seen.add((last, w))
+                last = w
+        if (last, None) not in seen and out:
+            seen.add((last, None))
+            rows.append((i, " ".join(out)))
+    rows += [(i, text + " unheard-of words") for i, text in [(200 + k, rows[k][1]) for k in range(8)] if zlib.crc32(str(i).encode()) % 5 == 1]
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    (model,), k = models, models[0].classes
+    lp = {r["id"]: r["lp"] for r in model.words.collect()}
+    train = [["", *t.split(), ""] for i, t in rows if not got[i][0]]
+    pairs = Counter(p for t in train for p in zip(t, t[1:]))
+    uses = Counter(u for t in train for u in t[:-1])
+    assert set(pairs.values()) == {1} and any(h for h, _ in got.values())
+    number = lambda w: int(model.d.ids(lm._hashes([w.encode()]))[0])
+    for i, text in rows:
+        total, t = 0.0, ["", *text.split(), ""]
+        for u, w in zip(t, t[1:]):
+            ku, kw = (k.of(x.encode()) if x else k.edge for x in (u, w))
+            if w and number(w) in lp:
+                of_class = lp[number(w)]
+            else:
+                of_class = math.log10(sum(n[kw] * math.exp(s.log_of([w.encode()])[0]) for s, n in zip(model.spellers, model.new)) / len(model.spellers)) if w else 0.0
+            own = (1 - lm.DISCOUNT) * pairs[u, w]
+            total += math.log10((own + (lm.STRENGTH + lm.DISCOUNT * uses[u]) * 10 ** (float(model.log_class[ku, kw]) + of_class)) / (lm.STRENGTH + uses[u]))
+        assert math.isclose(total, got[i][1], rel_tol=1e-4), (i, text)
+
+
 def test_lgamma():
     x = np.array([0.5, 1, 2, 3.3, 7.9, 8, 20, 1e6])
     assert np.allclose(lm.lgamma(x), [math.lgamma(v) for v in x], atol=1e-8)
@@ -134,6 +208,30 @@ def test_kernel_tolerates_gaps():
     assert k("idiot", "idiiot") > 0.5 and k("idiot", "idxiot") > 0.2 > k("idiot", "table")
 
 
+def test_margins_sum_the_subsequences():
+    """The machine's sums at places equal the listed subsequences' weights, word by word."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefgéüжды中文") for _ in range(rng.randrange(2, 25))) for _ in range(300)]
+    machine = toxicity.Machine([], [], [], None)
+    machine.table[:] = np.random.default_rng(1).normal(size=len(machine.table))
+    machine.bias = 0.25
+    code, weight, own = toxicity.subsequences(words)
+    assert np.allclose(machine.margins(words), np.bincount(own, machine.table[code] * weight, len(words)) + 0.25, atol=1e-5)
+
+
+def test_kernel_of_unrelated_words_is_small_in_any_script():
+    rng = random.Random(8)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "".join(map(chr, range(0x4E00, 0x4F00)))):
+        words = ["".join(rng.choice(letters) for _ in range(8)) for _ in range(200)]
+        code, weight, own = toxicity.subsequences(words)
+        cells = defaultdict(list)
+        for c, w, o in zip(code.tolist(), weight.tolist(), own.tolist()):
+            cells[c].append((o, w))
+        total = sum(w * v for x in cells.values() for o, w in x for q, v in x if o != q)
+        assert total / (200 * 199) < 0.005
+    assert toxicity.units("you id iot") == ["you", "id", "iot"] and toxicity.units("傻瓜") == ["傻瓜"]
+
+
 def test_units_undo_disguise():
     assert toxicity.units("You 1d10t!!") == ["you", "idiot"]
     assert "idiot" in toxicity.units("an i d i o t here") and "idiot" in toxicity.units("i-d.i*o_t")
