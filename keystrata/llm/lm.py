@@ -5,7 +5,9 @@ The parent of these restaurants draws a token in two steps. A restaurant for eac
 before, or the start) serves classes: each of the most frequent words, the end, and the other words by
 their endings. Class restaurants share one parent over classes. A word of an ending is then drawn from the ending's
 restaurant, whose base spells it byte by byte, backwards, so that the ending comes first and the
-rest is drawn given it: spelling restaurants for four bytes share parents for three bytes, and so on to one root.
+rest is drawn given it: spelling restaurants for four bytes share parents for three bytes, and so on to one root. All
+contexts that the words have get restaurants: the most frequent ones are seated by the driver and sent to every worker, the
+others are seated side by side, by their last three bytes, and joined to the words that have them.
 The customers of a parent are the tables of its children, down to the spelling of each table of the words.
 
 Seating is sampled as the number of tables t of each dish's c customers. With the discount fixed at
@@ -26,6 +28,7 @@ classes are a fixed number, so their counts fit the driver.
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +52,11 @@ PAIR_BURN_IN, PAIR_SAMPLES = 1, 2
 #: Sweeps over the words, which start with a table for each: first those that are dropped.
 WORD_BURN_IN, WORD_SAMPLES = 2, 2
 SYMBOLS, END, START, SIDE = 257, 256, 257, 258
-#: Spelling contexts of 4 bytes, and of 3, with restaurants of their own.
-KEPT = 10_000
+#: Spelling contexts of 4 bytes, and of 3, whose restaurants are sent to every worker, the most frequent ones; the others' are joined.
+KEPT = 100_000
+#: Cells of the other spelling contexts that are seated at once, about; and sweeps over them: first those that are dropped.
+SEATED = 200_000
+REST_BURN_IN, REST_SAMPLES = 1, 2
 #: Distinct cells that a counting task holds before it passes them on.
 HELD = 1_000_000
 #: Bytes of text, and documents, of a chunk (a longer document is a chunk of its own).
@@ -113,13 +119,23 @@ def draw_tables(c: np.ndarray, a: np.ndarray, u: np.ndarray, others: np.ndarray
         step = np.maximum(1, np.floor(1 / np.sqrt(np.maximum(curve, 1e-12)) / 5))
         low = np.maximum(mode - 32 * step, 1)
         t = low[:, None] + np.arange(65) * step[:, None]
-        good = t <= n[:, None]
+        logs, one = np.empty(t.shape), step == 1
+        if one.any():
+            # by the ratio of one more table to so many
+            v, m = t[one, :-1], n[one, None]
+            more = 1 if x_of is None else 1 + v / x[one, None]
+            logs[one, 0] = 0
+            with np.errstate(divide="ignore"):
+                logs[one, 1:] = np.cumsum(np.log(4 * w[one, None] * more * np.maximum(m - v, 0) / (np.maximum(2 * m - v - 1, 1) * v)), 1)
+        if not one.all():
+            v, m, g = np.minimum(t, n[:, None])[~one], n[~one, None], w[~one, None]
+            far = v * np.log(g) + lgamma(2 * m - v) - lgamma(m - v + 1) - lgamma(v) + v * math.log(4)
+            if x_of is not None:
+                y = x[~one, None]
+                far += np.where(y > 1e8, v * (v - 1) / (2 * y), lgamma(y + v) - lgamma(y) - v * np.log(y))
+            logs[~one] = far
+        logs = np.where(t <= n[:, None], logs, -np.inf)
         t = np.minimum(t, n[:, None])
-        logs = t * np.log(w)[:, None] + lgamma(2 * n[:, None] - t) - lgamma(n[:, None] - t + 1) - lgamma(t) + t * math.log(4)
-        if x_of is not None:
-            x = x[:, None]
-            logs += np.where(x > 1e8, t * (t - 1) / (2 * x), lgamma(x + t) - lgamma(x) - t * np.log(x))
-        logs = np.where(good, logs, -np.inf)
         p = np.cumsum(np.exp(logs - logs.max(1, keepdims=True)), 1)
         pick = (p < (u[k] * p[:, -1])[:, None]).sum(1)
         out[k] = t[np.arange(len(k)), np.minimum(pick, 64)]
@@ -153,6 +169,34 @@ class Seating:
     def n_rows(self, i: int) -> int:
         return len(self.up[i]) if i < len(self.up) else 1
 
+    def shares(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each level, its cells' own parts of their probabilities, and its rows' weights of their parents."""
+        out = []
+        for i in range(len(self.cells)):
+            r, c, n = self.cells[i] // self.dishes, self.customers(i), self.n_rows(i)
+            t = np.minimum(self.tables[i], c)
+            all_ = STRENGTH + np.bincount(r, c, n)
+            out.append(((c - DISCOUNT * t) / all_[r], (STRENGTH + DISCOUNT * np.bincount(r, t, n)) / all_))
+        return out
+
+    def at_cells(self, shares: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        """For each level, its cells' probabilities; a cell's parent has that cell too."""
+        out = [np.full(len(self.cells[-1]), 1 / self.dishes)]
+        for i in range(len(self.cells) - 1, -1, -1):
+            own, back = shares[i]
+            out.append(own + back[self.cells[i] // self.dishes] * (out[-1][self.at[i + 1]] if i + 1 < len(self.cells) else out[-1]))
+        return out[:0:-1]
+
+    def mean_shares(self, burn_in: int = BURN_IN, samples: int = SAMPLES) -> list[tuple[np.ndarray, np.ndarray]]:
+        """shares(), averaged over the sweeps after the burn-in: each row's sum to 1 as in every sweep."""
+        total = None
+        for s in range(burn_in + samples):
+            self.sweep()
+            if s >= burn_in:
+                new = self.shares()
+                total = new if total is None else [(a + x, b + y) for (a, b), (x, y) in zip(total, new)]
+        return [(a / samples, b / samples) for a, b in total]
+
     def predictive(self, i: int) -> np.ndarray:
         """Dense probabilities of level i: a row for each restaurant."""
         base = np.full((1, self.dishes), 1 / self.dishes, np.float32)
@@ -167,8 +211,8 @@ class Seating:
 
     def sweep(self) -> None:
         for i in range(len(self.cells)):
-            r, k, c = self.cells[i] // self.dishes, self.cells[i] % self.dishes, self.customers(i)
-            parent = self.predictive(i + 1)[self.up[i][r], k] if i + 1 < len(self.cells) else np.full(len(c), 1 / self.dishes)
+            r, c = self.cells[i] // self.dishes, self.customers(i)
+            parent = self.at_cells(self.shares())[i + 1][self.at[i + 1]] if i + 1 < len(self.cells) else np.full(len(c), 1 / self.dishes)
             tables = np.bincount(r, self.tables[i], self.n_rows(i))
             others = np.maximum(tables[r] - self.tables[i], 0)
             self.tables[i] = draw_tables(c, (STRENGTH + DISCOUNT * others) * parent, self.rng.random(len(c)), others)
@@ -185,10 +229,13 @@ class Seating:
 
 
 class Speller:
-    """Spelling probabilities by the bytes before: a dense row for each kept context of 4 or 3 bytes, and for those of 2 and 1 that are met."""
+    """Spelling probabilities by the bytes before: restaurants of all contexts of 4 bytes that are given, and of those of 3, 2, 1 and 0 that are given or met.
+
+    Only cells that have customers are held, and each context's weight of its parent, which gives it all other symbols.
+    """
 
     def __init__(self, cells: list[tuple[np.ndarray, np.ndarray]], classes: "Classes", seed: int):
-        """cells: for orders 4, 3, 2, 1: codes (context x SYMBOLS + symbol) and counts of the customers whose longest kept context it is."""
+        """cells: for orders 4, 3, 2, 1: codes (context x SYMBOLS + symbol) and counts of the customers that come by themselves."""
         direct, contexts, below = [], [], np.zeros(0, np.int64)
         for order, (code, count) in zip((4, 3, 2, 1), cells):
             met = np.unique(np.concatenate([code // SYMBOLS, below]))
@@ -197,33 +244,68 @@ class Speller:
             below = met % SIDE ** (order - 1)
         none = np.zeros(0, np.int64)
         direct.append((none, none, np.zeros(0)))
-        up = [np.searchsorted(contexts[i + 1], contexts[i] % SIDE ** (3 - i)) for i in range(3)] + [np.zeros(len(contexts[3]), np.int64)]
-        means = Seating(direct, up, SYMBOLS, seed).averaged((0, 1, 2, 3, 4))
-        self.contexts = contexts
+        self.up = [np.searchsorted(contexts[i + 1], contexts[i] % SIDE ** (3 - i)) for i in range(3)] + [np.zeros(len(contexts[3]), np.int64)]
+        seating = Seating(direct, self.up, SYMBOLS, seed)
+        shares = seating.mean_shares()
+        self.contexts = [*contexts, np.zeros(1, np.int64)]
+        self.codes = [x[c // SYMBOLS] * SYMBOLS + c % SYMBOLS for x, c in zip(self.contexts, seating.cells)]
+        self.log_p = [np.log(p).astype(np.float32) for p in seating.at_cells(shares)]
+        self.log_back = [np.log(back).astype(np.float32) for _, back in shares]
         self.first = np.cumsum([0] + [len(c) for c in contexts])
-        self.logs = np.log(np.vstack(means)).astype(np.float32)
         self.classes, self.log_mass = classes, np.zeros(classes.n)
         self._masses()
 
-    def _masses(self) -> None:
-        """log of the mass, for each class of other words, of the strings that are its words: they have its ending and aren't frequent."""
+    def log_cells(self, context: np.ndarray, symbol: np.ndarray, longest: int = 4) -> np.ndarray:
+        """log of the probability of each symbol after a context, of which at most the `longest` last bytes count."""
+        out, left = np.zeros(len(context)), np.arange(len(context))
+        for order in range(longest, -1, -1):
+            codes, contexts = self.codes[4 - order], self.contexts[4 - order]
+            x, k = context[left] % SIDE**order, symbol[left]
+            if len(codes):
+                at = np.minimum(np.searchsorted(codes, x * SYMBOLS + k), len(codes) - 1)
+                hit = codes[at] == x * SYMBOLS + k
+                out[left[hit]] += self.log_p[4 - order][at[hit]]
+                left, x = left[~hit], x[~hit]
+            if len(contexts):
+                at = np.minimum(np.searchsorted(contexts, x), len(contexts) - 1)
+                out[left] += np.where(contexts[at] == x, self.log_back[4 - order][at], 0)
+        out[left] -= math.log(SYMBOLS)
+        return out
+
+    @cached_property
+    def logs(self) -> np.ndarray:
+        """A dense row for each context, for spellers of few contexts. Whoever takes them may change them: words are spelled by them from then on."""
+        base, out = np.full((1, SYMBOLS), 1 / SYMBOLS), []
+        for i in range(4, -1, -1):
+            base = np.exp(self.log_back[i])[:, None] * (base[self.up[i]] if i < 4 else base)
+            base[np.searchsorted(self.contexts[i], self.codes[i] // SYMBOLS), self.codes[i] % SYMBOLS] = np.exp(self.log_p[i])
+            out.append(base)
+        return np.log(np.vstack(out[::-1])).astype(np.float32)
+
+    def _log_at(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.logs[self.rows(context), symbol].astype(np.float64) if "logs" in self.__dict__ else self.log_cells(context, symbol)
+
+    def _masses(self, more: np.ndarray | float = 0.0) -> None:
+        """log of the mass, for each class of other words, of the strings that are its words: they have its ending and aren't frequent.
+
+        more: for the frequent words, what contexts that aren't held here add to their logs.
+        """
         k = self.classes
         mass = np.zeros(k.n)
         start = np.full(1, ((START * SIDE + START) * SIDE + START) * SIDE + START)
-        at_start = self.logs[self.rows(start)[0]].astype(np.float64)
+        at_start = self._log_at(np.repeat(start, SYMBOLS), np.arange(SYMBOLS))
         for ending, i in k.endings.items():
             last, before = ending[1], ending[0]
-            row = self.rows(start % SIDE**3 * SIDE + last)[0]
-            mass[i] = math.exp(at_start[last] + float(self.logs[row, before]))
+            mass[i] = math.exp(at_start[last] + float(self._log_at(start % SIDE**3 * SIDE + last, np.array([before]))[0]))
         mass[k.other] = 1 - math.exp(at_start[END]) - mass[k.first_ending : k.other].sum()
         frequent = list(k.frequent)
         if frequent:
-            own = np.exp(self.log_raw(frequent))
+            own = np.exp(self.log_raw(frequent) + more)
             np.subtract.at(mass, [k.endings.get(w[-2:], k.other) for w in frequent], own)
         self.log_mass = np.log(np.maximum(mass, 1e-12))
 
     def rows(self, context: np.ndarray) -> np.ndarray:
-        """The row of the longest kept suffix of each context of 4 bytes."""
+        """The row of logs of the longest suffix of each context of 4 bytes that has one."""
         out = np.full(len(context), self.first[4], np.int64)
         left = np.arange(len(context))
         for i, order in enumerate((4, 3, 2, 1)):
@@ -240,7 +322,7 @@ class Speller:
         if not words:
             return np.zeros(0)
         context, symbol, owner = spelling(words)
-        return np.bincount(owner, self.logs[self.rows(context), symbol].astype(np.float64), len(words))
+        return np.bincount(owner, self._log_at(context, symbol), len(words))
 
     def log_of(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's base probability given its ending; the words aren't frequent ones."""
@@ -278,49 +360,183 @@ class Classes:
 
 
 def _spelling_codes(seated: DataFrame) -> DataFrame:
-    """code (4 bytes before x SYMBOLS + symbol), c: all bytes and ends of the tables of words; written."""
+    """code (4 bytes before x SYMBOLS + symbol), c: all bytes and ends of the tables of words, with c = 0 where only words without tables have them; written."""
+
+    def merged(parts):
+        code, back = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return code, np.bincount(back, np.concatenate([c for _, c in parts]), len(code))
+
+    def batch_of(parts):
+        code, c = merged(parts)
+        return pa.RecordBatch.from_arrays([pa.array(code), pa.array(c)], names=["code", "c"])
 
     def run(batches):
-        held: dict[int, float] = {}
+        held = [(np.zeros(0, np.int64), np.zeros(0))]
         for batch in batches:
             words = batch.column(0).to_pylist()
             for at in range(0, len(words), 20_000):
                 context, symbol, owner = spelling(words[at : at + 20_000])
-                code, back = np.unique(context * SYMBOLS + symbol, return_inverse=True)
-                weight = np.bincount(back, batch.column(1).slice(at, 20_000).to_numpy()[owner])
-                for x, y in zip(code.tolist(), weight.tolist()):
-                    held[x] = held.get(x, 0) + y
-                if len(held) > HELD:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.float64())], names=["code", "c"])
-                    held = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.int64()), pa.array(list(held.values()), pa.float64())], names=["code", "c"])
+                held.append((context * SYMBOLS + symbol, batch.column(1).slice(at, 20_000).to_numpy()[owner]))
+                if sum(len(x) for x, _ in held) > 2 * HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD:
+                        yield batch_of(held)
+                        held = [(np.zeros(0, np.int64), np.zeros(0))]
+        yield batch_of(held)
 
     return written(seated.select("w", "t").mapInArrow(tidy(run), "code bigint, c double").groupBy("code").agg(F.sum("c").alias("c")), "spelling")
 
 
-def _spelling_cells(codes: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Customers of the spelling restaurants, by the longest kept context.
+class Rest:
+    """The restaurants of spelling contexts that aren't sent to every worker, of 4 bytes, and of 3 where these aren't sent either.
 
-    Contexts of 2 and 1 bytes are kept all, of 4 and 3 the KEPT most frequent; so there are
-    at most (2 KEPT + 258^2 + 258) x 257 cells at any scale, and as many as the words' bytes have.
+    A bucket has all cells of the contexts of 3 bytes that fall into it, so the contexts' customers are known there. Sent are
+    contexts with at least `least` customers, and those of a word's first two bytes, by which endings are weighed; a
+    context of 3 bytes has no fewer customers than one of 4 that it ends, so the parent of one that is sent is sent too.
     """
-    cells, spark = written(codes, "cells"), codes.sparkSession
-    context, symbol = F.floor(F.col("code") / SYMBOLS), F.col("code") % SYMBOLS
-    here = cells.select(context.alias("x4"), (context % SIDE**3).alias("x3"), (context % SIDE**2).alias("x2"), symbol.alias("symbol"), "c")
-    for name in ("x4", "x3"):
-        top = here.groupBy(name).agg(F.sum("c").alias("n")).orderBy(F.col("n").desc(), name).limit(KEPT).select(name).toArrow()[name].to_pylist()
-        kept = spark.createDataFrame([(x, True) for x in top], f"{name} bigint, has_{name} boolean")
-        here = here.join(F.broadcast(kept), name, "left")
-    order = F.when(F.col("has_x4"), 4).when(F.col("has_x3"), 3).otherwise(2)
-    longest = F.when(F.col("has_x4"), F.col("x4")).when(F.col("has_x3"), F.col("x3")).otherwise(F.col("x2"))
-    rows = here.groupBy(order.alias("order"), (longest * SYMBOLS + F.col("symbol")).alias("code")).agg(F.sum("c").alias("c")).toArrow().to_pandas().sort_values(["order", "code"])
+
+    def __init__(self, code: np.ndarray, c: np.ndarray, least: float):
+        def sent(x: np.ndarray, edge: int) -> np.ndarray:
+            met, back = np.unique(x, return_inverse=True)
+            return ((np.bincount(back, c, len(met)) >= least) | (met // SIDE == edge))[back]
+
+        x4 = code // SYMBOLS
+        here = ~sent(x4, (START * SIDE + START) * SIDE + START)
+        with_parent = sent(x4 % SIDE**3, START * SIDE + START)
+        self.sent, self.sent_c = code[~here], c[~here]
+        by = np.argsort(code[here])
+        self.code, self.c = code[here][by], c[here][by]
+        self.context, self.symbol = self.code // SYMBOLS, self.code % SYMBOLS
+        self.row = np.cumsum(np.isin(np.arange(len(self.code)), _runs(self.context))) - 1
+        self.cell3, first, self.at = np.unique(self.context % SIDE**3 * SYMBOLS + self.symbol, return_index=True, return_inverse=True)
+        self.inner = ~with_parent[here][by][first]  # cells of contexts of 3 bytes that are seated here
+        self.row3 = np.unique(self.cell3 // SYMBOLS, return_inverse=True)[1]
+        self.t, self.t3 = np.minimum(self.c, 1), None
+
+    @staticmethod
+    def _shares(row: np.ndarray, c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cells' own parts, weights of the parents, and tables of the restaurant."""
+        all_, tables = STRENGTH + np.bincount(row, c)[row], np.bincount(row, t)[row]
+        return (c - DISCOUNT * t) / all_, (STRENGTH + DISCOUNT * tables) / all_, tables
+
+    def run(self, log_cells, sweep: int) -> np.ndarray:
+        """The cells' mean probabilities; log_cells(context, symbol, longest): those of contexts that are sent."""
+        if not len(self.code):
+            return np.zeros(0)
+        outer = np.exp(np.where(self.inner, log_cells(self.cell3 // SYMBOLS, self.cell3 % SYMBOLS, 2), log_cells(self.cell3 // SYMBOLS, self.cell3 % SYMBOLS, 3)))
+        self.t3, total, some = np.minimum(np.bincount(self.at, self.t), 1.0), np.zeros(len(self.code)), self.c > 0
+
+        def inner():
+            own, back, _ = self._shares(self.row3, np.bincount(self.at, self.t), self.t3)
+            return np.where(self.inner, own + back * outer, outer)
+
+        for s in range(REST_BURN_IN + REST_SAMPLES):
+            _, _, tables = self._shares(self.row, self.c, self.t)
+            others = np.maximum(tables - self.t, 0)
+            drawn = draw_tables(np.maximum(self.c, 1), (STRENGTH + DISCOUNT * others) * inner()[self.at], _uniform(self.code, self.symbol, 1000 + 20 * sweep + 2 * s), others)
+            self.t = np.where(some, drawn, 0.0)
+            c3 = np.bincount(self.at, self.t)
+            self.t3 = np.minimum(self.t3, c3)
+            others = np.maximum(self._shares(self.row3, c3, self.t3)[2] - self.t3, 0)
+            drawn = draw_tables(np.maximum(c3, 1), (STRENGTH + DISCOUNT * others) * outer, _uniform(self.cell3, self.cell3 % SYMBOLS, 1001 + 20 * sweep + 2 * s), others)
+            self.t3 = np.where(c3 > 0, drawn, 0.0)
+            if s >= REST_BURN_IN:
+                own, back, _ = self._shares(self.row, self.c, self.t)
+                total += own + back * inner()[self.at]
+        return total / REST_SAMPLES
+
+    def customers(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """Order, codes and counts of what comes to the restaurants that are sent."""
+        c3 = np.bincount(self.at, self.t, len(self.cell3)) if len(self.code) else np.zeros(0)
+        out, inner = ~self.inner, self.inner
+        t3 = self.t3 if self.t3 is not None else c3
+        return [(4, self.sent, self.sent_c), (3, self.cell3[out], c3[out]), (2, self.cell3[inner] // SYMBOLS % SIDE**2 * SYMBOLS + self.cell3[inner] % SYMBOLS, t3[inner])]
+
+
+def _shared_customers(cells: DataFrame) -> float:
+    """The customers from which on a context of 4 or 3 bytes is sent to every worker: at most KEPT of each have as many; 0: all are sent."""
+    least = 0.0
+    if cells.count() <= KEPT:  # no more contexts than cells
+        return least
+    for size in (4, 3):
+        x = F.floor(F.col("code") / SYMBOLS) % SIDE**size
+        n = cells.groupBy(x.alias("x")).agg(F.sum("c").alias("n")).where("n > 0").select("n")
+        if n.count() > KEPT:
+            least = max(least, n.orderBy(F.col("n").desc()).limit(KEPT + 1).agg(F.min("n").alias("n")).first()["n"] + 0.5)
+    return least
+
+
+def _speller(codes: DataFrame, classes: Classes, before: Speller | None, sweep: int) -> tuple[Speller, DataFrame | None]:
+    """The speller of all contexts that are sent to every worker, and for the cells of the others (code, more): what they add to its logs; None if all are sent.
+
+    codes (code, c) has all cells of all words. before: the speller of the sweep before, under which the others are seated
+    for their customers; without one, under the symbols' shares. The driver gets at most (2 KEPT + 258^2 + 258) x 257 cells
+    at any scale, and as many as the words' bytes have.
+    """
+    spark, cells = codes.sparkSession, written(codes, "cells")
+    least = _shared_customers(cells)
+    if not least:
+        rows = cells.where("c > 0").toArrow()
+        code, c = rows["code"].to_numpy(), rows["c"].to_numpy()
+        discard(cells)
+        by = np.argsort(code)
+        none = (np.zeros(0, np.int64), np.zeros(0))
+        return Speller([(code[by], c[by]), none, none, none], classes, sweep), None
+    dealt = cells.withColumn("bucket", F.pmod(F.xxhash64(F.floor(F.col("code") / SYMBOLS) % SIDE**3), F.lit(max(16, cells.count() // SEATED)))).groupBy("bucket")
+    by_symbol = cells.groupBy((F.col("code") % SYMBOLS).alias("k")).agg(F.sum("c").alias("c")).toArrow()
+    shares = np.full(SYMBOLS, 1 / SYMBOLS)
+    np.add.at(shares, by_symbol["k"].to_numpy(), by_symbol["c"].to_numpy())
+    shares = np.log(shares / shares.sum())
+    parent = spark.sparkContext.broadcast(before)
+
+    def up(table: pa.Table) -> pa.Table:
+        rest = Rest(table["code"].to_numpy(), table["c"].to_numpy(), least)
+        rest.run(parent.value.log_cells if parent.value else lambda x, k, _: shares[k], 2 * sweep)
+        out = rest.customers()
+        return pa.table({"order": pa.array(np.concatenate([np.full(len(x), o, np.int32) for o, x, _ in out])), "code": pa.array(np.concatenate([x for _, x, _ in out])), "c": pa.array(np.concatenate([c for _, _, c in out]))})
+
+    rows = dealt.applyInArrow(up, "order int, code bigint, c double").groupBy("order", "code").agg(F.sum("c").alias("c")).where("c > 0").toArrow().to_pandas().sort_values(["order", "code"])
+    none = (np.zeros(0, np.int64), np.zeros(0))
+    speller = Speller([*((part["code"].to_numpy(np.int64), part["c"].to_numpy(np.float64)) for o in (4, 3, 2) for part in [rows[rows["order"] == o]]), none], classes, sweep)
+    parent.destroy()
+    sent = spark.sparkContext.broadcast(speller)
+
+    def down(table: pa.Table) -> pa.Table:
+        rest, own = Rest(table["code"].to_numpy(), table["c"].to_numpy(), least), sent.value
+        p = rest.run(own.log_cells, 2 * sweep + 1)
+        return pa.table({"code": pa.array(rest.code), "more": pa.array(np.log(p) - own.log_cells(rest.context, rest.symbol))})
+
+    more = written(dealt.applyInArrow(down, "code bigint, more double"), "more")
+    frequent = list(classes.frequent)
+    if frequent:
+        added = _with_more(spark.createDataFrame([(w,) for w in frequent], "w binary"), sent, more).toArrow()
+        at = dict(zip(added["w"].to_pylist(), added["more"].to_pylist()))
+        speller._masses(np.array([at[w] for w in frequent]))
+    sent.destroy()
     discard(cells)
-    out = [(part["code"].to_numpy(np.int64), part["c"].to_numpy(np.float64)) for o in (4, 3, 2) for part in [rows[rows["order"] == o]]]
-    return [*out, (np.zeros(0, np.int64), np.zeros(0))]
+    return speller, more
+
+
+def _with_more(words: DataFrame, speller, more: DataFrame | None) -> DataFrame:
+    """words with more: what the contexts that aren't sent add to their logs."""
+    if more is None:
+        return words.withColumn("more", F.lit(0.0))
+
+    def run(batches):
+        sent = speller.value.contexts[0]
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            context, symbol, owner = spelling(words)
+            rest = np.flatnonzero(~np.isin(context, sent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner[rest])), pa.array((context * SYMBOLS + symbol)[rest])], names=["w", "code"])
+
+    asked = words.select("w").mapInArrow(tidy(run), "w binary, code bigint")
+    sums = asked.join(more, "code").groupBy("w").agg(F.sum("more").alias("more"))
+    return words.join(sums, "w", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
 
 
 def _seat_words(rare: DataFrame, speller: Speller, tables: np.ndarray, sweep: int) -> DataFrame:
-    """w, c, t -> w, c, t, base, k: tables drawn anew, the base probability, the class. A word's random number is its hash, so a task that is run again draws the same."""
+    """w, c, t, more -> w, c, t, base, k: tables drawn anew, the base probability, the class. A word's random number is its hash, so a task that is run again draws the same."""
     shared = rare.sparkSession.sparkContext.broadcast((speller, tables))
 
     def run(batches):
@@ -329,11 +545,11 @@ def _seat_words(rare: DataFrame, speller: Speller, tables: np.ndarray, sweep: in
         for batch in batches:
             words, c, t = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
             k = np.fromiter((classes.endings.get(w[-2:], classes.other) for w in words), np.int64, len(words))
-            base = np.exp(speller.log_of(words))
+            base = np.exp(speller.log_of(words) + batch.column(3).to_numpy())
             u = np.fromiter((xxhash.xxh64_intdigest(w, seed=sweep) for w in words), np.uint64, len(words)).astype(np.float64) / 2.0**64
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(draw_tables(c, (STRENGTH + DISCOUNT * (others := np.maximum(tables[k] - t, 0))) * base, u, others)), pa.array(base), pa.array(k)], names=["w", "c", "t", "base", "k"])
 
-    out = rare.select("w", "c", "t").mapInArrow(tidy(run), "w binary, c bigint, t double, base double, k bigint")
+    out = rare.select("w", "c", "t", "more").mapInArrow(tidy(run), "w binary, c bigint, t double, base double, k bigint")
     out._sent = shared
     return out
 
@@ -427,14 +643,11 @@ def _rows(batches):
 
 
 def _counts(chunks: DataFrame) -> DataFrame:
-    """w BINARY, c: counts of all training words (without ends)."""
+    """w BINARY, c: all words (without ends) and their counts in training documents, 0 for words that only others have."""
 
     def run(batches):
         for row in _rows(batches):
-            c = np.frombuffer(row["counts"], "<i4")
-            some = np.flatnonzero(c)
-            if len(some):
-                yield pa.RecordBatch.from_arrays([row["words"].take(pa.array(some)), pa.array(c[some].astype(np.int64))], names=["w", "c"])
+            yield pa.RecordBatch.from_arrays([row["words"], pa.array(np.frombuffer(row["counts"], "<i4").astype(np.int64))], names=["w", "c"])
 
     return chunks.select("words", "counts").mapInArrow(tidy(run), "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -609,10 +822,10 @@ class Model:
         vocabulary = written(_counts(self.chunks), "vocabulary")
         release(spark)
         self.ends = n_docs = self.chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
-        sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
+        sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
         self.tokens, self.distinct = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
         # words by count: as many rows as there are different counts
-        by_count = vocabulary.groupBy("c").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("w")).alias("size")).toArrow().to_pandas().sort_values("c", ascending=False)
+        by_count = vocabulary.where("c > 0").groupBy("c").agg(F.count(F.lit(1)).alias("count"), F.sum(F.octet_length("w")).alias("size")).toArrow().to_pandas().sort_values("c", ascending=False)
         fits = (by_count["count"].cumsum() <= DIRECT) & (by_count["size"].cumsum() <= DIRECT_BYTES)
         least = int(by_count["c"][fits].min()) if fits.any() else (1 << 62)
         rows = vocabulary.where(F.col("c") >= least).toArrow()  # at most DIRECT rows of DIRECT_BYTES
@@ -621,7 +834,7 @@ class Model:
         frequent = order[:FREQUENT]
         del rows, pairs
         rare = vocabulary.join(F.broadcast(spark.createDataFrame([(w,) for w in frequent], "w binary")), "w", "left_anti")
-        endings = rare.where(F.octet_length("w") > 1).groupBy(F.substring("w", -2, 2).alias("e")).agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "e").limit(ENDINGS).toArrow()["e"].to_pylist()
+        endings = rare.where((F.octet_length("w") > 1) & (F.col("c") > 0)).groupBy(F.substring("w", -2, 2).alias("e")).agg(F.sum("c").alias("c")).orderBy(F.col("c").desc(), "e").limit(ENDINGS).toArrow()["e"].to_pylist()
         self.classes = classes = Classes(frequent, endings)
         d = self.d = Direct(order, counts, classes)
         self.direct = spark.sparkContext.broadcast(d)
@@ -655,46 +868,61 @@ class Model:
         """Words that aren't frequent, and their spelling: a word's customers are its tables in all contexts."""
         spark, classes = numbered.sparkSession, self.classes
         seated = numbered.where(F.col("k") >= classes.first_ending).join(saved, "id", "left")
-        seated = written(seated.select("w", "k", (F.col("c") - F.coalesce("less", F.lit(0.0))).cast("long").alias("c"), F.lit(1.0).alias("t")), "seated")
+        seated = written(seated.select("w", "k", (F.col("c") - F.coalesce("less", F.lit(0.0))).cast("long").alias("c"), F.when(F.col("c") > 0, 1.0).otherwise(0.0).alias("t")), "seated")
         release(spark)
-        # a word with one customer has one table, so its spelling is counted once
+        # a word with one customer has one table, so its spelling is counted once; words that training doesn't have have none
         alone, some = seated.where("c <= 1"), seated.where("c > 1")
-        fixed = _spelling_codes(alone)
+        spelled = alone.select("w", "t")
+        if classes.frequent:
+            spelled = spelled.unionByName(spark.createDataFrame([(w, 0.0) for w in classes.frequent], "w binary, t double"))
+        fixed = _spelling_codes(spelled)
         tables_alone = _tables(alone, classes)
         tables = tables_alone + _tables(some, classes)
-        self.spellers, self.new, drawn, p = [], [], [], None
+        self.spellers, self.new, drawn, mores, p, speller = [], [], [], [], None, None
         for sweep in range(WORD_BURN_IN + WORD_SAMPLES):
             own = _spelling_codes(some)
-            speller = Speller(_spelling_cells(fixed.unionByName(own).groupBy("code").agg(F.sum("c").alias("c"))), classes, sweep)
+            speller, more = _speller(fixed.unionByName(own).groupBy("code").agg(F.sum("c").alias("c")), classes, speller, sweep)
             discard(own)
-            seats = _seat_words(some, speller, tables, sweep)
+            sent = spark.sparkContext.broadcast(speller)
+            seats = _seat_words(_with_more(some, sent, more), speller, tables, sweep)
             some = written(seats, "drawn")
             seats._sent.destroy()  # each speller takes room on every executor's disk
+            sent.destroy()
             drawn.append(some)
             tables = tables_alone + _tables(some, classes)
             release(spark)
             if sweep >= WORD_BURN_IN:
                 new = (STRENGTH + DISCOUNT * tables) / (STRENGTH + customers)
                 self.spellers.append(speller)
+                mores.append(more)
                 self.new.append(new)
                 by_class = F.broadcast(spark.createDataFrame([(i, float(customers[i]), float(new[i])) for i in range(classes.first_ending, classes.n)], "k bigint, n double, new double"))
                 x = some.join(by_class, "k").select("w", ((F.col("c") - DISCOUNT * F.col("t")) / (STRENGTH + F.col("n")) + F.col("new") * F.col("base")).alias("p"))
                 p = x if p is None else p.unionByName(x)
         discard(fixed)
-        model = self.spell = spark.sparkContext.broadcast((self.spellers, self.new, customers, classes))
+        # words of one customer or none, under each speller
+        model = spark.sparkContext.broadcast((self.spellers, self.new, customers))
+        alone = alone.select("w", "k", "c")
+        sents = []
+        for i, more in enumerate(mores):
+            sents.append(spark.sparkContext.broadcast(self.spellers[i]) if more is not None else None)
+            alone = _with_more(alone, sents[i], more).withColumnRenamed("more", f"more_{i}")
 
         def of_one(batches):
-            spellers, new, customers, classes = model.value
+            spellers, new, customers = model.value
             for batch in batches:
-                words, k = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                own = (1 - DISCOUNT) / (STRENGTH + customers[k])
-                base = sum(f[k] * np.exp(s.log_of(words)) for s, f in zip(spellers, new)) / len(spellers)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(own + base))], names=["w", "lp"])
+                words, k, c = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+                own = np.maximum(c - DISCOUNT, 0) / (STRENGTH + customers[k])
+                base = sum(f[k] * np.exp(s.log_of(words) + batch.column(3 + i).to_numpy()) for i, (s, f) in enumerate(zip(spellers, new))) / len(spellers)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(np.maximum(own + base, 1e-300)))], names=["w", "lp"])
 
-        lp = p.groupBy("w").agg(F.log10(F.sum("p") / WORD_SAMPLES).alias("lp")).unionByName(alone.select("w", "k").mapInArrow(tidy(of_one), "w binary, lp double"))
-        #: id, c, lp of each word: its count, and its log probability given its class
+        lp = p.groupBy("w").agg(F.log10(F.sum("p") / WORD_SAMPLES).alias("lp")).unionByName(alone.mapInArrow(tidy(of_one), "w binary, lp double"))
+        #: id, c, lp of each word, also of those that only held-out texts have: its count, and its log probability given its class
         self.words = written(numbered.join(lp, "w", "left").select("id", "c", F.coalesce("lp", F.lit(0.0)).alias("lp")), "words")
-        for x in (seated, numbered, *drawn):
+        for x in (model, *sents):
+            if x is not None:
+                x.destroy()
+        for x in (seated, numbered, *drawn, *mores):
             discard(x)
         release(spark)
         self.direct_lp = np.zeros(self.d.edge + 1)
@@ -718,7 +946,7 @@ class Model:
 
 
 def _known_words(model: Model) -> DataFrame:
-    """The chunks with told: for the distinct words that aren't direct and that training has, their place, count and log probability."""
+    """The chunks with told: for the distinct words that aren't direct, their place, count and log probability."""
     direct = model.direct
 
     def rare(batches):
@@ -746,10 +974,9 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
     n, v, buckets, direct, hot = model.tokens, model.distinct, model.buckets, model.direct, model.hot
     scale = math.log10(n + 0.5 * (v + 1))
     sent = spark.sparkContext.broadcast((model.log_class, model.direct_lp, model.direct_t, model.pairs, model.ends))
-    spell = model.spell
 
     def spread(batches):
-        d, is_hot, (spellers, new, _, _) = direct.value, hot.value, spell.value
+        d, is_hot = direct.value, hot.value
         log_class, direct_lp, direct_t, (keys, ns), ends = sent.value
         keys, ns = np.append(keys, 1 << 62), np.append(ns, 0)
         back = (STRENGTH + DISCOUNT * direct_t) / (STRENGTH + d.counts)
@@ -760,10 +987,6 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
             at, told_c, told_lp = (x.to_numpy() for x in row["told"].flatten())
             c, lp = np.where(ids >= 0, d.counts[np.maximum(ids, 0)], 0.0), direct_lp[np.maximum(ids, 0)]
             c[at], lp[at] = told_c, told_lp
-            lost = np.flatnonzero(c == 0)
-            if len(lost):
-                words = row["words"].take(pa.array(lost)).to_pylist()
-                lp[lost] = np.log10(np.maximum(sum(f[k[lost]] * np.exp(s.log_of(words)) for s, f in zip(spellers, new)) / len(spellers), 1e-300))
             ids, c, lp = np.append(ids, d.edge), np.append(c, ends), np.append(lp, 0.0)
             u, w, doc = _sequence(row, slice(0, None))
             many = len(row["ids"])

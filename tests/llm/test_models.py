@@ -1,5 +1,6 @@
 """Language model and toxicity: exact parts against brute force, the rest on held-out rows."""
 
+import itertools
 import math
 import random
 import zlib
@@ -141,6 +142,43 @@ def test_spelling_sums_to_one_in_each_class():
     assert all(0.97 < mass[k] <= 1.0001 for k in (classes.endings[b"ab"], classes.endings[b"ba"], classes.other))
 
 
+def test_spelling_contexts_that_are_not_sent_count_too(spark, monkeypatch):
+    """The first byte of a word follows from the four after it, and from no fewer: all contexts count, whether workers hold them or not."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("wxyz") + "".join(x)).encode() for x in itertools.product("abcd", repeat=4)]
+    other = [bytes([next(y for y in b"wxyz" if y != w[0])]) + w[1:] for w in words]
+    classes = lm.Classes([words[0]], [])
+    codes = lm._spelling_codes(spark.createDataFrame([(w, 20.0) for w in words] + [(w, 0.0) for w in other], "w binary, t double"))
+    logs, mass = {}, {}
+    for kept in (100_000, 5):
+        monkeypatch.setattr(lm, "KEPT", kept)
+        speller = None
+        for sweep in range(2):
+            speller, more = lm._speller(codes, classes, speller, sweep)
+        assert (more is None) == (kept > 5) and len(speller.contexts[0]) < (1000 if kept > 5 else 20)
+        rows = lm._with_more(spark.createDataFrame([(w,) for w in words + other], "w binary"), spark.sparkContext.broadcast(speller), more).toArrow()
+        added = dict(zip(rows["w"].to_pylist(), rows["more"].to_pylist()))
+        logs[kept] = speller.log_raw(words + other) + [added[w] for w in words + other]
+        mass[kept] = speller.log_mass
+        # the right first byte against a wrong one: two bytes of context would tell them apart by chance only
+        assert (logs[kept][:256] - logs[kept][256:]).min() > 2
+    assert np.abs(logs[5] - logs[100_000])[:256].max() < 0.5 and np.abs(mass[5] - mass[100_000]).max() < 0.01
+
+
+def test_restaurants_that_are_not_sent_sum_to_one():
+    rng = np.random.default_rng(2)
+    contexts = np.unique(rng.integers(0, 4, (40, 4)) @ lm.SIDE ** np.arange(4))
+    code = (contexts[:, None] * lm.SYMBOLS + np.arange(lm.SYMBOLS)).ravel()
+    c = np.where(rng.random(len(code)) < 0.05, rng.integers(1, 60, len(code)), 0).astype(float)
+    for least in (200.0, 1e9):
+        rest = lm.Rest(code, c, least)
+        p = rest.run(lambda x, k, longest: np.full(len(x), -math.log(lm.SYMBOLS)), 0)
+        sums = np.bincount(np.unique(rest.context, return_inverse=True)[1], p)
+        assert len(sums) and np.allclose(sums, 1) and (least < 1e9) == (len(rest.sent) > 0)
+        own = {order: c.sum() for order, _, c in rest.customers()}
+        assert own[4] + rest.c.sum() == c.sum() and 0 < own[2] <= rest.c.sum()
+
+
 def brute_base(rows, folds=5, held=1):
     low = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
     tokens = [(zlib.crc32(("" if i is None else str(i)).encode()) % folds == held, (t or "").encode().translate(low).split() + [b""]) for i, t in rows]
