@@ -28,6 +28,7 @@ classes are a fixed number, so their counts fit the driver.
 from __future__ import annotations
 
 import math
+import time
 from functools import cached_property
 
 import numpy as np
@@ -595,7 +596,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) in chunks; written.
 
     A row: chunk, n_train (training documents come first), ids, lengths (words of each document), codes (of all words, one
-    document after another, numbers into the distinct words), hashes (of these, ascending), words, counts (in training documents).
+    document after another, numbers into the distinct words: first their low halves, then their high ones), hashes (of these, ascending), words, counts (in training documents).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -613,7 +614,7 @@ def _chunks(docs: DataFrame) -> DataFrame:
             n_train = out.count(False)
             counts = np.bincount(code[: ends[n_train - 1] if n_train else 0], minlength=len(distinct))
             words = [raw[a : a + n] for a, n in zip(start[first].tolist(), size[first].tolist())]
-            cols = [[part << 32 | seq], [n_train], [list(ids)], [np.diff(ends, prepend=0).astype("<i4").tobytes()], [code.astype("<i4").tobytes()], [distinct.tobytes()], [words], [counts.astype("<i4").tobytes()]]
+            cols = [[part << 32 | seq], [n_train], [list(ids)], [np.diff(ends, prepend=0).astype("<i4").tobytes()], [code.astype("<i4").view("<u2").reshape(-1, 2).T.tobytes()], [distinct.tobytes()], [words], [counts.astype("<i4").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         for batch in batches:
@@ -666,7 +667,8 @@ def _numbered(vocabulary: DataFrame, direct) -> DataFrame:
 
 def _sequence(row: dict, documents: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of some documents of a chunk, for each token (words and ends): context and token as numbers into the distinct words, with the edge after the last of these; and its document's number."""
-    lengths, codes, edge = np.frombuffer(row["lengths"], "<i4").astype(np.int64), np.frombuffer(row["codes"], "<i4"), len(row["hashes"]) // 8
+    codes = np.ascontiguousarray(np.frombuffer(row["codes"], "<u2").reshape(2, -1).T).view("<i4").ravel()
+    lengths, edge = np.frombuffer(row["lengths"], "<i4").astype(np.int64), len(row["hashes"]) // 8
     first = int(lengths[: documents.start or 0].sum())
     lengths = lengths[documents]
     full = np.full(int(lengths.sum()) + len(lengths) + 1, edge, np.int64)
@@ -697,13 +699,16 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join([np.array([len(arrays), *(x.nbytes for x in arrays)], "<i8").tobytes(), *(x.tobytes() for x in arrays)])
+    """Numbers of 8 bytes by halves: first all low ones, then all high ones, which are alike for direct words and so take no room when compressed."""
+    halves = [np.ascontiguousarray(x).view("<u4").reshape(-1, 2).T if x.dtype == np.int64 else x for x in arrays]
+    return b"".join([np.array([len(arrays), *(x.nbytes for x in halves)], "<i8").tobytes(), *(x.tobytes() for x in halves)])
 
 
 def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
     at, out = 8 * (1 + len(kinds)), []
     for n, kind in zip(np.frombuffer(data, "<i8", len(kinds), 8).tolist(), kinds):
-        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at))
+        x = np.frombuffer(data, "<u4" if kind == "<i8" else kind, n // (4 if kind == "<i8" else np.dtype(kind).itemsize), at)
+        out.append(np.ascontiguousarray(x.reshape(2, -1).T).view("<i8").ravel() if kind == "<i8" else x)
         at += n
     return out
 
@@ -917,8 +922,8 @@ class Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.log10(np.maximum(own + base, 1e-300)))], names=["w", "lp"])
 
         lp = p.groupBy("w").agg(F.log10(F.sum("p") / WORD_SAMPLES).alias("lp")).unionByName(alone.mapInArrow(tidy(of_one), "w binary, lp double"))
-        #: id, c, lp of each word, also of those that only held-out texts have: its count, and its log probability given its class
-        self.words = written(numbered.join(lp, "w", "left").select("id", "c", F.coalesce("lp", F.lit(0.0)).alias("lp")), "words")
+        #: id, c, lp, k of each word, also of those that only held-out texts have: its count, its log probability given its class, and this
+        self.words = written(numbered.join(lp, "w", "left").select("id", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"), "k"), "words")
         for x in (model, *sents):
             if x is not None:
                 x.destroy()
@@ -946,7 +951,7 @@ class Model:
 
 
 def _known_words(model: Model) -> DataFrame:
-    """The chunks with told: for the distinct words that aren't direct, their place, count and log probability."""
+    """The chunks with told: for the distinct words that aren't direct, their place, count, log probability and class. Written without the words themselves, in the place of the model's chunks and words, so that the texts aren't on disk once more while they are scored."""
     direct = model.direct
 
     def rare(batches):
@@ -956,8 +961,11 @@ def _known_words(model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), row["chunk"])), pa.array(at.astype(np.int32))], names=["id", "chunk", "at"])
 
     asked = model.chunks.select("chunk", "hashes").mapInArrow(tidy(rare), "id bigint, chunk bigint, at int")
-    told = asked.join(model.words.where("id < 0"), "id").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").cast("int").alias("c"), F.col("lp").cast("float").alias("lp"))).alias("told"))
-    return model.chunks.drop("counts").join(told, "chunk", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<at:int,c:int,lp:float>>")))
+    told = asked.join(model.words.where("id < 0"), "id").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").cast("int").alias("c"), F.col("lp").cast("float").alias("lp"), F.col("k").cast("int").alias("k"))).alias("told"))
+    out = written(model.chunks.drop("counts", "words").join(told, "chunk", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<at:int,c:int,lp:float,k:int>>"))), "told")
+    for x in (model.chunks, model.words):
+        discard(x)
+    return out
 
 
 def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
@@ -983,10 +991,10 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
 
         def one(row: dict, kind: pa.DataType) -> pa.RecordBatch:
             ids = d.ids(np.frombuffer(row["hashes"], "<u8"))
-            k = np.append(d.classes_of(ids, row["words"]), d.classes.edge)
-            at, told_c, told_lp = (x.to_numpy() for x in row["told"].flatten())
+            k = np.append(d.number[np.maximum(ids, 0)], d.classes.edge)
+            at, told_c, told_lp, told_k = (x.to_numpy() for x in row["told"].flatten())
             c, lp = np.where(ids >= 0, d.counts[np.maximum(ids, 0)], 0.0), direct_lp[np.maximum(ids, 0)]
-            c[at], lp[at] = told_c, told_lp
+            c[at], lp[at], k[at] = told_c, told_lp, told_k
             ids, c, lp = np.append(ids, d.edge), np.append(c, ends), np.append(lp, 0.0)
             u, w, doc = _sequence(row, slice(0, None))
             many = len(row["ids"])
@@ -1063,7 +1071,11 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
                 own[doc] += value
         return pa.table({"doc_id": all_ids[head].values, "held_out": pa.array(np.arange(len(own)) >= n_train[0]), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
 
-    told = _known_words(model).mapInArrow(tidy(spread), f"chunk bigint, bucket bigint, payload binary, ids array<{id_kind}>")
+    told = _known_words(model)
+    for _ in range(2):  # Spark's listeners refer to the last plan for a moment, and so to its shuffle files
+        time.sleep(1)
+        release(spark)
+    told = told.mapInArrow(tidy(spread), f"chunk bigint, bucket bigint, payload binary, ids array<{id_kind}>")
     scored = told.groupBy("bucket").applyInArrow(score, f"chunk bigint, payload binary, ids array<{id_kind}>")
     out = scored.groupBy("chunk").applyInArrow(settle, f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -165,6 +165,22 @@ def test_spelling_contexts_that_are_not_sent_count_too(spark, monkeypatch):
     assert np.abs(logs[5] - logs[100_000])[:256].max() < 0.5 and np.abs(mass[5] - mass[100_000]).max() < 0.01
 
 
+def test_chunks_are_scored_without_their_words(messy, monkeypatch):
+    """Rare words, also those of held-out texts alone, are told with class and probability; the model's chunks leave the disk."""
+    monkeypatch.setattr(lm, "DIRECT", 50)
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    model = lm.Model(messy.select("doc_id", "text", (lm.doc_number() % 5 == 1).alias("held_out")))
+    counts = {bytes(h): w for r in model.chunks.select("hashes", "words").collect() for h, w in zip(np.frombuffer(r["hashes"], "V8"), r["words"])}
+    told = lm._known_words(model)
+    assert not {"words", "counts"} & set(told.columns)
+    for r in told.collect():
+        h, ids = np.frombuffer(r["hashes"], "V8"), model.d.ids(np.frombuffer(r["hashes"], "<u8"))
+        assert sorted(x["at"] for x in r["told"]) == np.flatnonzero(ids < 0).tolist()
+        assert all(x["k"] == model.classes.of(bytes(counts[bytes(h[x["at"]])])) and x["lp"] < 0 for x in r["told"])
+    with pytest.raises(Exception):
+        model.chunks.collect()
+
+
 def test_restaurants_that_are_not_sent_sum_to_one():
     rng = np.random.default_rng(2)
     contexts = np.unique(rng.integers(0, 4, (40, 4)) @ lm.SIDE ** np.arange(4))
