@@ -62,6 +62,8 @@ REST_BURN_IN, REST_SAMPLES = 1, 2
 HELD = 1_000_000
 #: Bytes of text, and documents, of a chunk (a longer document is a chunk of its own).
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 50_000
+#: Tokens that a bucket of contexts has on average at most, however large the splits of the input are: a task holds a whole bucket.
+BUCKET_TOKENS = 1_000_000
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -821,12 +823,14 @@ class Model:
         spark = docs.sparkSession
         held = F.col("held_out") if "held_out" in docs.columns else F.lit(False)
         docs = docs.select("doc_id", held.alias("held_out"), whole_text().alias("text"))
-        self.buckets = min(1 << 20, max(16, 4 * docs.rdd.getNumPartitions()))
+        parts = docs.rdd.getNumPartitions()
         self.chunks = _chunks(docs)
         release(spark)
         vocabulary = written(_counts(self.chunks), "vocabulary")
         release(spark)
-        self.ends = n_docs = self.chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()["n"]
+        sums = self.chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)).alias("size")).first()
+        self.ends = n_docs = sums["n"]
+        self.buckets = min(1 << 20, max(16, 4 * parts, -(-sums["size"] // (4 * BUCKET_TOKENS))))
         sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
         self.tokens, self.distinct = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
         # words by count: as many rows as there are different counts

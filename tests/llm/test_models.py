@@ -181,6 +181,21 @@ def test_chunks_are_scored_without_their_words(messy, monkeypatch):
         model.chunks.collect()
 
 
+def test_buckets_are_bounded_whatever_the_splits(messy, monkeypatch):
+    class Enough(Exception):
+        pass
+
+    def stop(chunks, direct, hot, buckets, *_):
+        raise Enough(buckets)
+
+    monkeypatch.setattr(lm, "_first_tables", stop)
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 100)
+    words = sum(len((r["text"] or "").encode().split()) for r in messy.collect())
+    with pytest.raises(Enough) as found:
+        lm.Model(messy.coalesce(1).select("doc_id", "text"))
+    assert found.value.args[0] >= words // 100 > 16
+
+
 def test_restaurants_that_are_not_sent_sum_to_one():
     rng = np.random.default_rng(2)
     contexts = np.unique(rng.integers(0, 4, (40, 4)) @ lm.SIDE ** np.arange(4))
