@@ -29,15 +29,17 @@ from __future__ import annotations
 
 import math
 import time
+import uuid
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, doc_number, release, tidy, whole_text, written
+from .common import discard, doc_number, qualified, release, remove, shared_path, tidy, whole_text, written
 from .hashing import LOWER, hashed_words, mix
 
 DISCOUNT, STRENGTH = 0.5, 1.0
@@ -64,6 +66,8 @@ HELD = 1_000_000
 CHUNK_BYTES, CHUNK_DOCS = 4 << 20, 50_000
 #: Tokens that a bucket of contexts has on average at most, however large the splits of the input are: a task holds a whole bucket.
 BUCKET_TOKENS = 1_000_000
+#: Of codes and payloads: Spark's rows, batches, shuffles and files hold them compressed.
+_ZSTD = pa.Codec("zstd", 1)
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -597,8 +601,9 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def _chunks(docs: DataFrame) -> DataFrame:
     """docs (doc_id, held_out, text) in chunks; written.
 
-    A row: chunk, n_train (training documents come first), ids, lengths (words of each document), codes (of all words, one
-    document after another, numbers into the distinct words: first their low halves, then their high ones), hashes (of these, ascending), words, counts (in training documents).
+    A row: chunk, n_train (training documents come first), n_words, ids, lengths (words of each document), codes (of all words, one
+    document after another, numbers into the distinct words: first all lowest bytes, and so on, compressed here, so that a row is small wherever Spark
+    holds it), hashes (of the distinct words, the most frequent ones first, whose numbers so are short), words, counts (in training documents).
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -612,15 +617,18 @@ def _chunks(docs: DataFrame) -> DataFrame:
             ids, out, texts = zip(*held)
             start, size, (h,) = hashed_words((raw := b"\n".join(texts).translate(LOWER)), (0,))
             ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
-            distinct, first, code = np.unique(h, return_index=True, return_inverse=True)
+            distinct, first, code, many = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            by, place = np.argsort(-many, kind="stable"), np.empty(len(many), np.int64)
+            place[by] = np.arange(len(by))
+            distinct, first, code = distinct[by], first[by], place[code]
             n_train = out.count(False)
             counts = np.bincount(code[: ends[n_train - 1] if n_train else 0], minlength=len(distinct))
             words = [raw[a : a + n] for a, n in zip(start[first].tolist(), size[first].tolist())]
-            cols = [[part << 32 | seq], [n_train], [list(ids)], [np.diff(ends, prepend=0).astype("<i4").tobytes()], [code.astype("<i4").view("<u2").reshape(-1, 2).T.tobytes()], [distinct.tobytes()], [words], [counts.astype("<i4").tobytes()]]
+            cols = [[part << 32 | seq], [n_train], [len(code)], [list(ids)], [np.diff(ends, prepend=0).astype("<i4").tobytes()], [_small(code.astype("<i4").view("u1").reshape(-1, 4).T.tobytes())], [distinct.tobytes()], [words], [counts.astype("<i4").tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
         for batch in batches:
-            kinds[2] = pa.list_(batch.schema.field(0).type)
+            kinds[3] = pa.list_(batch.schema.field(0).type)
             for at in range(0, batch.num_rows, 64):
                 for i, out, text in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     text = text.encode()
@@ -632,9 +640,9 @@ def _chunks(docs: DataFrame) -> DataFrame:
         if held:
             yield settle()
 
-    names = ["chunk", "n_train", "ids", "lengths", "codes", "hashes", "words", "counts"]
-    kinds = [pa.int64(), pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
-    schema = f"chunk bigint, n_train bigint, ids array<{kind}>, lengths binary, codes binary, hashes binary, words array<binary>, counts binary"
+    names = ["chunk", "n_train", "n_words", "ids", "lengths", "codes", "hashes", "words", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.binary()]
+    schema = f"chunk bigint, n_train bigint, n_words bigint, ids array<{kind}>, lengths binary, codes binary, hashes binary, words array<binary>, counts binary"
     return written(docs.select("doc_id", "held_out", "text").mapInArrow(tidy(run), schema), "chunks")
 
 
@@ -669,7 +677,7 @@ def _numbered(vocabulary: DataFrame, direct) -> DataFrame:
 
 def _sequence(row: dict, documents: slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of some documents of a chunk, for each token (words and ends): context and token as numbers into the distinct words, with the edge after the last of these; and its document's number."""
-    codes = np.ascontiguousarray(np.frombuffer(row["codes"], "<u2").reshape(2, -1).T).view("<i4").ravel()
+    codes = np.ascontiguousarray(np.frombuffer(_whole(row["codes"]), "u1").reshape(4, -1).T).view("<i4").ravel()
     lengths, edge = np.frombuffer(row["lengths"], "<i4").astype(np.int64), len(row["hashes"]) // 8
     first = int(lengths[: documents.start or 0].sum())
     lengths = lengths[documents]
@@ -700,14 +708,23 @@ def _runs(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _small(data: bytes) -> bytes:
+    """Compressed, after its length."""
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _whole(data: bytes) -> bytes:
+    return _ZSTD.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+
+
 def _packed(*arrays: np.ndarray) -> bytes:
-    """Numbers of 8 bytes by halves: first all low ones, then all high ones, which are alike for direct words and so take no room when compressed."""
+    """Compressed; numbers of 8 bytes by halves: first all low ones, then all high ones, which are alike for direct words and so take no room."""
     halves = [np.ascontiguousarray(x).view("<u4").reshape(-1, 2).T if x.dtype == np.int64 else x for x in arrays]
-    return b"".join([np.array([len(arrays), *(x.nbytes for x in halves)], "<i8").tobytes(), *(x.tobytes() for x in halves)])
+    return _small(b"".join([np.array([len(arrays), *(x.nbytes for x in halves)], "<i8").tobytes(), *(x.tobytes() for x in halves)]))
 
 
 def _unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
-    at, out = 8 * (1 + len(kinds)), []
+    data, at, out = _whole(data), 8 * (1 + len(kinds)), []
     for n, kind in zip(np.frombuffer(data, "<i8", len(kinds), 8).tolist(), kinds):
         x = np.frombuffer(data, "<u4" if kind == "<i8" else kind, n // (4 if kind == "<i8" else np.dtype(kind).itemsize), at)
         out.append(np.ascontiguousarray(x.reshape(2, -1).T).view("<i8").ravel() if kind == "<i8" else x)
@@ -828,9 +845,9 @@ class Model:
         release(spark)
         vocabulary = written(_counts(self.chunks), "vocabulary")
         release(spark)
-        sums = self.chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)).alias("size")).first()
+        sums = self.chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words")).first()
         self.ends = n_docs = sums["n"]
-        self.buckets = min(1 << 20, max(16, 4 * parts, -(-sums["size"] // (4 * BUCKET_TOKENS))))
+        self.buckets = min(1 << 20, max(16, 4 * parts, -(-sums["words"] // BUCKET_TOKENS)))
         sums = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
         self.tokens, self.distinct = sums["n"] + n_docs, sums["v"] + (n_docs > 0)
         # words by count: as many rows as there are different counts
@@ -954,9 +971,17 @@ class Model:
         self.pairs = (key, c - DISCOUNT * total / PAIR_SAMPLES)
 
 
+TOLD = [("at", pa.int32()), ("c", pa.int32()), ("lp", pa.float32()), ("k", pa.int32())]
+
+
 def _known_words(model: Model) -> DataFrame:
-    """The chunks with told: for the distinct words that aren't direct, their place, count, log probability and class. Written without the words themselves, in the place of the model's chunks and words, so that the texts aren't on disk once more while they are scored."""
-    direct = model.direct
+    """The chunks with told: for the distinct words that aren't direct, their place, count, log probability and class. Written without the words themselves, in the place of the model's chunks, so that the texts aren't on disk once more while they are scored.
+
+    What is told of a chunk is a small file by its number in the shared folder, and chunks pick it up as they are
+    copied: they are neither shuffled nor sorted, so no executor holds many of them, and the disk has no third copy.
+    """
+    spark, direct = model.chunks.sparkSession, model.direct
+    folder = qualified(spark, shared_path(spark, "told-of"))
 
     def rare(batches):
         for row in _rows(batches):
@@ -964,14 +989,53 @@ def _known_words(model: Model) -> DataFrame:
             at = np.flatnonzero(ids < 0)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(np.full(len(at), row["chunk"])), pa.array(at.astype(np.int32))], names=["id", "chunk", "at"])
 
+    def keep(table: pa.Table) -> pa.Table:
+        files, path = fs.FileSystem.from_uri(f"{folder}/{table.column('chunk')[0].as_py()}")
+        by = np.argsort(table.column("at").to_numpy(), kind="stable")
+        data = _packed(*(table.column(name).to_numpy()[by].astype(kind.to_pandas_dtype()) for name, kind in TOLD))
+        files.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        with files.open_output_stream(tmp := f"{path}.{uuid.uuid4().hex}.tmp") as out:
+            out.write(data)
+        files.move(tmp, path)  # a task that is run again writes the same
+        return table.slice(0, 1).select(["chunk"])
+
     asked = model.chunks.select("chunk", "hashes").mapInArrow(tidy(rare), "id bigint, chunk bigint, at int")
-    told = asked.join(model.words.where("id < 0"), "id").groupBy("chunk").agg(F.collect_list(F.struct("at", F.col("c").cast("int").alias("c"), F.col("lp").cast("float").alias("lp"), F.col("k").cast("int").alias("k"))).alias("told"))
-    out = written(model.chunks.drop("counts", "words").join(told, "chunk", "left").withColumn("told", F.coalesce("told", F.array().cast("array<struct<at:int,c:int,lp:float,k:int>>"))), "told")
-    for x in (model.chunks, model.words):
-        discard(x)
+    found = asked.join(model.words.where("id < 0"), "id").select("chunk", "at", F.col("c").cast("int").alias("c"), F.col("lp").cast("float").alias("lp"), F.col("k").cast("int").alias("k"))
+    n_files = found.groupBy("chunk").applyInArrow(keep, "chunk bigint").count()
+    del asked, found
+    _settle_disk(spark)
+    chunks = model.chunks.drop("counts", "words")
+
+    def told(batches):
+        for batch in batches:
+            for i, row in enumerate(_rows([batch])):
+                many = int((direct.value.ids(np.frombuffer(row["hashes"], "<u8")) < 0).sum())
+                cols = [np.zeros(0, kind.to_pandas_dtype()) for _, kind in TOLD]
+                if many:
+                    files, path = fs.FileSystem.from_uri(f"{folder}/{row['chunk']}")
+                    with files.open_input_stream(path) as f:
+                        cols = _unpacked(f.read(), "<i4", "<i4", "<f4", "<i4")
+                if len(cols[0]) != many:
+                    raise ValueError(f"chunk {row['chunk']} has {many} words that aren't direct, and is told of {len(cols[0])}")
+                structs = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(cols, TOLD)], [name for name, _ in TOLD])
+                one = batch.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.ListArray.from_arrays(pa.array([0, many], pa.int32()), structs)], names=[*one.schema.names, "told"])
+
+    kind = chunks.schema.simpleString().removeprefix("struct<").removesuffix(">")
+    out = written(chunks.mapInArrow(tidy(told), f"{kind}, told array<struct<at:int,c:int,lp:float,k:int>>"), "told")
+    if n_files:
+        remove(spark, folder)
+    discard(model.chunks)
     return out
 
 
+def _settle_disk(spark) -> None:
+    """Shuffle files of the plans before leave the disk."""
+    for _ in range(2):  # Spark's listeners refer to the last plan for a moment, and so to its shuffle files
+        time.sleep(1)
+        release(spark)
+
+
 def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -1076,9 +1140,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held: int = 1) -> DataFrame
         return pa.table({"doc_id": all_ids[head].values, "held_out": pa.array(np.arange(len(own)) >= n_train[0]), "n_tokens": pa.array(lengths), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(own)})
 
     told = _known_words(model)
-    for _ in range(2):  # Spark's listeners refer to the last plan for a moment, and so to its shuffle files
-        time.sleep(1)
-        release(spark)
+    _settle_disk(spark)
     told = told.mapInArrow(tidy(spread), f"chunk bigint, bucket bigint, payload binary, ids array<{id_kind}>")
     scored = told.groupBy("bucket").applyInArrow(score, f"chunk bigint, payload binary, ids array<{id_kind}>")
     out = scored.groupBy("chunk").applyInArrow(settle, f"doc_id {id_kind}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

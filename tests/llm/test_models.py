@@ -181,6 +181,22 @@ def test_chunks_are_scored_without_their_words(messy, monkeypatch):
         model.chunks.collect()
 
 
+def test_chunks_are_small_rows_that_are_never_shuffled(spark, monkeypatch):
+    """Executors hold chunks compressed, and what is told of their words comes to them."""
+    plans, write = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name, *x: (plans.update({name: df._jdf.queryExecution().toString()}), write(df, name, *x))[1])
+    monkeypatch.setattr(lm, "DIRECT", 50)
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(400))) for i in range(60)]
+    model = lm.Model(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    (chunk,) = model.chunks.collect()
+    assert chunk["n_words"] == 60 * 400 and len(chunk["codes"]) < 2 * chunk["n_words"]
+    (told,) = lm._known_words(model).collect()
+    assert len(told["told"]) == len(told["hashes"]) // 8 - 50 > 0
+    assert "Exchange" not in plans["told"] and "Join" not in plans["told"]
+
+
 def test_buckets_are_bounded_whatever_the_splits(messy, monkeypatch):
     class Enough(Exception):
         pass
