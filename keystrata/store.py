@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import asdict
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,17 +155,26 @@ class Store:
         """What a table has of a log."""
         return views.pairs(log) if self.history else views.latest(log)
 
-    def _write_tables(self, records: DataFrame, n_bytes: int, n_rows: int, limit: int) -> list[TableInfo]:
-        """Sorted files of disjoint key ranges, about `limit` bytes each; one manifest row per file."""
-        parts, name = max(1, -(-n_bytes // limit)), self._new("tables")
-        options = BLOOM | {"parquet.bloom.filter.expected.ndv#k": str(max(1, -(-n_rows // parts)))}
-        views.decoded(records).select("k", "t", "v").repartitionByRange(parts, "k").sortWithinPartitions("k", "t", "v").write.mode("errorifexists").options(**options).parquet(f"{self.path}/{name}")
+    def _write_tables(self, log: DataFrame, limit: int) -> list[TableInfo]:
+        """Sorted files of disjoint key ranges, about `limit` bytes each, of what tables keep of a log; one manifest row per file.
+
+        The records are found once and held by Spark (on disk where memory is short) until they are written: their own
+        size settles the number of files, and the ranges are drawn from them.
+        """
+        name, records = self._new("tables"), views.decoded(self._kept(log)).select("k", "t", "v", "rec").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            sums = records.agg(F.sum(entry_bytes("k", "rec")).alias("s"), F.count(F.lit(1)).alias("n")).first()
+            parts = max(1, -(-(sums["s"] or 0) // limit))
+            options = BLOOM | {"parquet.bloom.filter.expected.ndv#k": str(max(1, -(-sums["n"] // parts)))}
+            records.select("k", "t", "v").repartitionByRange(parts, "k").sortWithinPartitions("k", "t", "v").write.mode("errorifexists").options(**options).parquet(f"{self.path}/{name}")
+        finally:
+            records.unpersist()
         made = self._read([name]).withColumn("f", F.element_at(F.split(F.input_file_name(), "/"), -1))
         rows = made.groupBy("f").agg(F.hex(F.min("k")).alias("b"), F.hex(F.max("k")).alias("e"), F.count(F.lit(1)).alias("n"), F.sum(entry_bytes("k", "rec")).alias("s")).collect()  # a row per file
         return sorted((TableInfo(f"{name}/{r['f']}", r["b"], r["e"], r["n"], r["s"]) for r in rows), key=lambda t: t.begin)
 
     def _merge(self, tables: list[TableInfo], limit: int) -> list[TableInfo]:
-        return self._write_tables(self._kept(self._read([t.path for t in tables])), sum(t.n_bytes for t in tables), sum(t.n_rows for t in tables), limit)
+        return self._write_tables(self._read([t.path for t in tables]), limit)
 
     def flush(self) -> None:
         """Segments become base tables of about table_bytes; then levels are balanced; then all is committed at once."""
@@ -172,20 +182,19 @@ class Store:
             return
 
         def change() -> None:
-            rows = sum(s.get("n_rows", 1) for s in self.segments)
-            for table in self._write_tables(self._kept(self.memory()), self.mem_size(), rows, self.limits.table_bytes):
-                self.levels.add(table, self._merge)
+            self.levels.add(self._write_tables(self.memory(), self.limits.table_bytes), self._merge)
             self.segments = []
 
         self._changing(change)
 
     def compact(self) -> None:
-        """Merge all that is flushed into one run."""
+        """Merge all that is flushed into one run, of the first level that may have as much."""
         self.flush()
 
         def change() -> None:
-            made = self._merge(self.levels.live(), self.limits.bytes_of(0))
-            self.levels.base, self.levels.runs = [], [made]
+            tables = self.levels.live()
+            level = self.levels.level_for(sum(t.n_bytes for t in tables))
+            self.levels.base, self.levels.runs = [], [*([] for _ in range(level)), self._merge(tables, self.limits.bytes_of(level))]
 
         if self.levels.live():
             self._changing(change)

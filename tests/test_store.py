@@ -244,6 +244,49 @@ def test_levels_cascade():
     assert len(levels.runs) > 2
 
 
+def test_many_tables_go_down_together():
+    """A flush of many tables takes a merge or a few for each level, not for each table; nothing is lost, and each level keeps its limit."""
+    limits, calls = Limits(base_tables=2, level_tables=1, table_bytes=1, factor=10), []
+
+    def cut(tables, limit):
+        calls.append(len(tables))
+        first, last = min(t.begin for t in tables), max(t.end for t in tables)
+        parts = max(1, sum(t.n_bytes for t in tables) // limit)
+        ends = [int(first) + (int(last) - int(first) + 1) * i // parts for i in range(parts + 1)]
+        return [TableInfo(f"m{len(calls)}", f"{a:05d}", f"{b - 1:05d}", 1, limit) for a, b in zip(ends, ends[1:])]
+
+    levels = Levels(limits=limits)
+    for n in range(3):
+        levels.add([TableInfo(f"{n}-{i}", f"{10 * i:05d}", f"{10 * i + 9:05d}", 1, 1) for i in range(500)], cut)
+        assert len(levels.base) < limits.base_tables and not any(levels.overflows(i) for i in range(len(levels.runs)))
+        for run in levels.runs:
+            assert all(a.end < b.begin for a, b in zip(run, run[1:]))
+        covered = sorted((t.begin, t.end) for t in levels.live())
+        assert covered[0][0] == "00000" and max(e for _, e in covered) == "04999"
+    assert 0 < len(calls) <= 12 and max(calls) >= 100
+
+
+def test_merges_leave_far_tables_alone():
+    levels, calls = Levels(runs=[[TableInfo("a", "10", "20", 1, 1), TableInfo("big", "30", "40", 1, 1000), TableInfo("z", "50", "60", 1, 1)]]), []
+    levels.merge_into(0, [info("15", "16"), info("55", "57"), info("70", "80")], lambda x, limit: calls.append(sorted(t.path for t in x)) or merge(x, limit))
+    assert calls == [["a", "t"], ["t", "z"]]
+    assert [(t.begin, t.end) for t in levels.runs[0]] == [("10", "20"), ("30", "40"), ("50", "60"), ("70", "80")]
+
+
+def test_tables_are_as_many_as_what_is_kept_needs(spark, tmp_path):
+    """10,000 puts of 10 keys make one small table, and a compaction goes to the level that holds it."""
+    store = Store(spark, str(tmp_path / "s"), Limits(base_tables=2, level_tables=1, table_bytes=1000))
+    rows = spark.range(10_000).selectExpr("unhex(lpad(hex(id % 10), 4, '0')) AS k", "id AS t", "unhex('61') AS v")
+    store.put(rows)
+    store.flush()
+    assert len(store.levels.live()) == 1
+    kept = Store(spark, str(tmp_path / "h"), Limits(base_tables=2, level_tables=1, table_bytes=1000, factor=2), history=True)
+    kept.put(rows.selectExpr("unhex(lpad(hex(t % 1000), 4, '0')) AS k", "t", "v"))
+    kept.compact()
+    assert not any(kept.levels.overflows(i) for i in range(len(kept.levels.runs)))
+    assert kept.versions().selectExpr("sum(size(versions)) AS n").first()["n"] == 10_000
+
+
 def test_levels_merge_overlapping():
     levels = Levels(runs=[[info("10", "20"), info("30", "40"), info("50", "60")]])
     levels.merge_into(0, info("15", "35"), merge)
