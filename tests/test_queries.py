@@ -48,3 +48,20 @@ def test_every_event_is_in_a_dealt_table(spark, oracle):
     for parts in (3, 8):
         dealt = core.dealt(core.fine_log(spark, folder), parts)
         assert dealt.count() == n and 0 <= dealt.selectExpr("min(tab)").first()[0] <= dealt.selectExpr("max(tab)").first()[0] < parts
+
+
+@pytest.mark.parametrize("history", [False])
+def test_filling_takes_few_merges(spark, monkeypatch, history):
+    """Four portions of nine tables each: at most a merge or two for each level and flush."""
+    from keystrata.store import Store
+
+    calls, merge = [], Store._merge
+    monkeypatch.setattr(Store, "_merge", lambda self, tables, limit: (calls.append(len(tables)), merge(self, tables, limit))[1])
+    log = spark.range(48_000).selectExpr("id % 4 AS gen", "unhex(lpad(hex(floor(id / 4)), 16, '0')) AS k", "id AS t", "encode(cast(id AS string), 'UTF-8') AS v")
+    store = core._filled(spark, None, log, history=history)
+    assert len(store.levels.live()) > 1 and 0 < len(calls) <= 6
+    assert store.latest().count() == 12_000
+    if history:
+        store.compact()
+        assert not any(store.levels.overflows(i) for i in range(len(store.levels.runs)))
+        assert store.versions().selectExpr("sum(size(versions)) AS n").first()["n"] == 48_000
