@@ -50,7 +50,7 @@ def test_every_event_is_in_a_dealt_table(spark, oracle):
         assert dealt.count() == n and 0 <= dealt.selectExpr("min(tab)").first()[0] <= dealt.selectExpr("max(tab)").first()[0] < parts
 
 
-@pytest.mark.parametrize("history", [False])
+@pytest.mark.parametrize("history", [False, True])
 def test_filling_takes_few_merges(spark, monkeypatch, history):
     """Four portions of nine tables each: at most a merge or two for each level and flush."""
     from keystrata.store import Store
